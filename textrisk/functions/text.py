@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textrisk.functions.patterns import SPACE
 
@@ -25,7 +26,7 @@ def collapse_space(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, rf"[{SPACE}]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

@@ -88,12 +88,22 @@ def mastodon(raw: DataFrame) -> DataFrame:
 NORMALIZERS = {"reddit": reddit, "mastodon": mastodon}
 
 
+def _where(labelled: DataFrame, keep: Column, columns: list[str]) -> DataFrame:
+    """Rows for which ``keep`` holds.
+
+    A plain filter would be moved below the parsing, which then runs once more
+    for every field the reject reason depends on; a generator stays in place.
+    """
+    row = F.struct(*columns)
+    return labelled.select(F.explode(F.when(keep, F.array(row))).alias("row")).select("row.*")
+
+
 def accepted(labelled: DataFrame) -> DataFrame:
-    return labelled.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    return _where(labelled, F.col("reject_reason").isNull(), RECORD.fieldNames())
 
 
 def rejected(labelled: DataFrame) -> DataFrame:
-    return labelled.filter(F.col("reject_reason").isNotNull())
+    return _where(labelled, F.col("reject_reason").isNotNull(), labelled.columns)
 
 
 def ingest_counters(labelled: DataFrame) -> DataFrame:
