@@ -40,10 +40,19 @@ END
 """
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table.  The test tables are single row groups, which only one task
+    can read, so a small table is dealt out to all cores.  A table that makes
+    several tasks per core is left as it is."""
+    rows = scan(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 4 * cores else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records, one per minute."""
     from textrisk.functions.isotime import epoch_to_iso

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry.inputs import conversation_lines, documents, mastodon_lines, notes, reddit_lines, table
+from registry.inputs import conversation_lines, documents, mastodon_lines, notes, reddit_lines, scan, table
 from textrisk.functions import identity, isotime, scoring, text
 from textrisk.functions.numeric import NUMERIC_FEATURES
 from textrisk.functions.patterns import RULES
 from textrisk.operators import metrics, normalize, tfidf
 from textrisk.operators.features import with_numeric_features, with_tokens
-from textrisk.operators.findings import candidates, explode_spans, with_rule_columns, with_spans
+from textrisk.operators.findings import candidates, explode_spans, with_counts, with_rule_columns, with_spans
 from textrisk.operators.prefix import first_rows, split_in_order, with_position
 from textrisk.plans.analyze import analyze, assess, with_combined_score
 from textrisk.plans.audit import audit, audit_rows, read_audit, run_audit, write_audit
@@ -22,7 +22,7 @@ from textrisk.plans.train import evaluate, prepare, time_split, train
 from textrisk.schema import RAW_FIELDS
 from textrisk.sources.raw import parse_json_lines, parse_labelled_dump, read_raw
 from textrisk.sources.records import export_jsonl, export_sample_jsonl, read_records, write_records
-from textrisk.storage import new_path
+from textrisk.storage import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,21 +85,21 @@ def redaction_notes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def type_counts_notes(spark: SparkSession, sf: str) -> DataFrame:
-    spotted = with_spans(notes(spark, sf))
-    return spotted.select("record_id", F.explode(scoring.counts_by_type(F.col("spans"))).alias("type", "n_found"))
+    counts = scoring.counts_by_type(F.col("spans"))
+    return with_spans(notes(spark, sf)).select("record_id", F.explode(counts).alias("type", "n_found"))
 
 
 def explanations_notes(spark: SparkSession, sf: str) -> DataFrame:
-    return with_spans(notes(spark, sf)).select("record_id", scoring.explanation(F.col("spans")).alias("explanation"))
+    return with_counts(notes(spark, sf)).select("record_id", scoring.explanation(F.col("counts_by_type")).alias("explanation"))
 
 
 def weak_labels_documents(spark: SparkSession, sf: str) -> DataFrame:
-    spans = F.col("spans")
-    return with_spans(documents(spark, sf)).select(
+    counts = F.col("counts_by_type")
+    return with_counts(documents(spark, sf)).select(
         "record_id",
-        F.array_join(scoring.pii_types(spans), "|").alias("pii_types"),
-        scoring.rule_score(spans).alias("rule_score"),
-        scoring.weak_label(spans).alias("y_risk"),
+        F.array_join(scoring.pii_types(counts), "|").alias("pii_types"),
+        scoring.rule_score(counts).alias("rule_score"),
+        scoring.weak_label(counts).alias("y_risk"),
     )
 
 
@@ -217,8 +217,8 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _tokens(spark, sf)
-    return tfidf.vocabulary(tfidf.document_frequency(docs), docs.count())
+    n_docs = table(spark, sf, "documents").count()
+    return materialize(tfidf.vocabulary(tfidf.document_frequency(_tokens(spark, sf)), n_docs), "vocabulary")
 
 
 def term_counts_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,7 +261,7 @@ def time_split_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     """Rule label as prediction against the toxicity label."""
-    ruled = with_spans(documents(spark, sf)).select("record_id", scoring.weak_label(F.col("spans")).alias("pred_risk"))
+    ruled = with_counts(documents(spark, sf)).select("record_id", scoring.weak_label(F.col("counts_by_type")).alias("pred_risk"))
     truth = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("record_id"), F.col("toxic").alias("y_risk"))
     return ruled.join(truth, "record_id")
 
@@ -277,7 +277,7 @@ def outcome_counts_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def class_weights_documents(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = with_spans(documents(spark, sf)).select(scoring.weak_label(F.col("spans")).alias("y_risk"))
+    labelled = with_counts(documents(spark, sf)).select(scoring.weak_label(F.col("counts_by_type")).alias("y_risk"))
     return metrics.class_weights(labelled).withColumn("class_weight", F.round("class_weight", 6))
 
 
@@ -307,9 +307,8 @@ def audit_summary_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fixed_model(spark: SparkSession, sf: str, **options) -> RiskModel:
-    docs = _tokens(spark, sf)
-    n_docs = docs.count()
-    terms = tfidf.vocabulary(tfidf.document_frequency(docs), n_docs).withColumn("coef", F.expr(FIXED_COEF))
+    n_docs = table(spark, sf, "documents").count()
+    terms = materialize(_vocabulary(spark, sf).withColumn("coef", F.expr(FIXED_COEF)), "terms")
     weights = Weights(FIXED_NUMERIC, FIXED_INTERCEPT, n_docs, tfidf.min_df_for(n_docs))
     return RiskModel(weights, terms, **options)
 
@@ -363,7 +362,7 @@ def sample_export_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def head_rows_orders(spark: SparkSession, sf: str) -> DataFrame:
     """The row limit: first rows in file order."""
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "_metadata")
+    orders = scan(spark, sf, "orders").select("o_orderkey", "o_custkey", "_metadata")
     return first_rows(with_position(orders).drop("_metadata"), HEAD_ROWS)
 
 

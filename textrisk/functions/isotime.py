@@ -107,16 +107,22 @@ def _assemble(parts: Column) -> Column:
 
 
 def _parse(text: Column) -> Column:
-    def group(i: int, drop: str) -> Column:
-        return F.regexp_replace(F.regexp_extract(text, _ISO, i), drop, "")
-
-    parts = F.struct(
-        _unix_day(group(1, "-")).alias("day"),
-        let(group(2, ":"), _clock).alias("time"),
-        F.regexp_extract(text, _ISO, 3).alias("sign"),
-        let(group(4, ":"), _clock).alias("offset"),
-    )
-    return F.when(text.rlike(_ISO), let(parts, _assemble))
+    # One match yields all groups.
+    groups = F.split(F.regexp_replace(text, _ISO, "$1|$2|$3|$4"), r"\|")
+
+    def from_groups(g: Column) -> Column:
+        def digits(i: int, drop: str) -> Column:
+            return F.replace(F.get(g, F.lit(i)), F.lit(drop), F.lit(""))
+
+        parts = F.struct(
+            let(digits(0, "-"), _unix_day).alias("day"),
+            let(digits(1, ":"), _clock).alias("time"),
+            F.get(g, F.lit(2)).alias("sign"),
+            let(digits(3, ":"), _clock).alias("offset"),
+        )
+        return let(parts, _assemble)
+
+    return F.when(text.rlike(_ISO), let(groups, from_groups))
 
 
 def to_iso_utc(value: Column) -> Column:

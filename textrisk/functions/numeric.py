@@ -20,12 +20,13 @@ NUMERIC_FEATURES = (
 )
 
 # Decimal digits, and the characters that are digits without being decimal ones
-# (superscripts, circled digits and the like).
+# (superscripts, circled digits and the like).  The intersection with all numbers
+# comes first because it rules out letters with one test.
 _DIGITS = (
-    r"[\p{Nd}²³¹፩-፱᧚⁰⁴-⁹₀-₉"
+    r"[\p{N}&&[\p{Nd}²³¹፩-፱᧚⁰⁴-⁹₀-₉"
     r"①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾"
     r"➀-➈➊-➒\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}"
-    r"\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}]"
+    r"\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}]]"
 )
 
 

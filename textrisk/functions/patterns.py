@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 # Character classes (contents of a bracket expression).
-WORD = r"\p{L}\p{N}_"
+WORD = r"A-Za-z0-9_\p{L}\p{N}"
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 
 _D = r"\p{Nd}"

@@ -1,6 +1,6 @@
 """Rule score, weak label, explanation and score combination.
 
-All functions take a span column (see ``spans.py``) and return a column.
+The rule functions take the counts that ``counts_by_type`` makes of a span column.
 """
 
 from __future__ import annotations
@@ -20,16 +20,13 @@ from textrisk.functions.patterns import (
 )
 
 
-def _types(spans: Column) -> Column:
-    return F.transform(spans, lambda s: s["type"])
-
-
-def _first_seen_types(spans: Column) -> Column:
-    return F.array_distinct(_types(spans))
-
-
-def _count_of(spans: Column, kind: Column) -> Column:
-    return F.size(F.filter(spans, lambda s: s["type"] == kind))
+def counts_by_type(spans: Column) -> Column:
+    """``map<type, count>`` with keys in order of first appearance."""
+    kinds = F.array_distinct(F.transform(spans, lambda s: s["type"]))
+    counted = F.map_from_arrays(
+        kinds, F.transform(kinds, lambda k: F.size(F.filter(spans, lambda s: s["type"] == k)))
+    )
+    return F.when(F.size(spans) > 0, counted).otherwise(F.create_map().cast("map<string,int>"))
 
 
 def _weight(kind: Column, weights: Mapping[str, int]) -> Column:
@@ -37,51 +34,47 @@ def _weight(kind: Column, weights: Mapping[str, int]) -> Column:
     return F.coalesce(F.try_element_at(table, kind), F.lit(0))
 
 
-def counts_by_type(spans: Column) -> Column:
-    """``map<type, count>`` with keys in order of first appearance."""
-    kinds = _first_seen_types(spans)
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: _count_of(spans, k)))
-
-
-def pii_types(spans: Column) -> Column:
+def pii_types(counts: Column) -> Column:
     """Distinct types in alphabetical order."""
-    return F.sort_array(_first_seen_types(spans))
+    return F.sort_array(F.map_keys(counts))
 
 
-def rule_score(spans: Column, weights: Mapping[str, int] = WEIGHTS) -> Column:
-    """Sum of the span weights, at most 100."""
+def rule_score(counts: Column, weights: Mapping[str, int] = WEIGHTS) -> Column:
+    """Weight times count, summed over the types, at most 100."""
     total = F.aggregate(
-        spans, F.lit(0).cast("long"), lambda acc, s: acc + _weight(s["type"], weights).cast("long")
+        F.map_entries(counts),
+        F.lit(0).cast("long"),
+        lambda acc, e: acc + _weight(e["key"], weights).cast("long") * e["value"],
     )
     return F.least(total, F.lit(MAX_SCORE)).cast("int")
 
 
-def explanation(spans: Column, weights: Mapping[str, int] = WEIGHTS) -> Column:
+def explanation(counts: Column, weights: Mapping[str, int] = WEIGHTS) -> Column:
     """A sentence naming the one or two gravest types.
 
     Heavier types come first, then more frequent ones, then those seen earlier.
     """
     ranked = F.sort_array(
         F.transform(
-            _first_seen_types(spans),
-            lambda k, i: F.struct(
-                (-_weight(k, weights)).alias("by_weight"),
-                (-_count_of(spans, k)).alias("by_count"),
+            F.map_entries(counts),
+            lambda e, i: F.struct(
+                (-_weight(e["key"], weights)).alias("by_weight"),
+                (-e["value"]).alias("by_count"),
                 i.alias("by_position"),
-                k.alias("type"),
+                e["key"].alias("type"),
             ),
         )
     )
     top = F.array_join(F.transform(F.slice(ranked, 1, 2), lambda r: r["type"]), " and ")
-    return F.when(F.size(spans) == 0, F.lit("No PII detected.")).otherwise(
+    return F.when(F.size(counts) == 0, F.lit("No PII detected.")).otherwise(
         F.concat(F.lit("Detected "), top, F.lit(" indicators."))
     )
 
 
-def weak_label(spans: Column, weights: Mapping[str, int] = WEIGHTS) -> Column:
+def weak_label(counts: Column, weights: Mapping[str, int] = WEIGHTS) -> Column:
     """1 if the score reaches the risk threshold or a high-severity type occurs."""
-    severe = F.exists(spans, lambda s: s["type"].isin(*HIGH_SEVERITY))
-    return ((rule_score(spans, weights) >= RISK_THRESHOLD) | severe).cast("int")
+    severe = F.arrays_overlap(F.map_keys(counts), F.array(*[F.lit(t) for t in HIGH_SEVERITY]))
+    return ((rule_score(counts, weights) >= RISK_THRESHOLD) | severe).cast("int")
 
 
 def ml_score(p_risk: Column) -> Column:

@@ -12,21 +12,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textrisk.functions.binding import let
 from textrisk.functions.patterns import RULES, Rule
 from textrisk.schema import SPANS_TYPE
 
+# A code point that is not a character and has no place in text.
+_RARE = "\uffff"
 _CANDIDATES = "array<struct<start:int,end:int,rank:int,type:string,match:string>>"
 
 
 def find_all(text: Column, rule: Rule, rank: int = 0) -> Column:
     """Every match of one rule with its offsets, left to right.
 
-    The text between matches and the matches themselves come from two regex
-    passes; their running lengths give the offsets.
+    The gaps between the matches and the matches themselves come from two regex
+    passes; their running lengths give the offsets.  The gaps are found only
+    where there is a match.
     """
-    gaps = F.split(text, rule.regex, -1)
-    matches = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_CANDIDATES).alias("found"))
+
+    def with_offsets(matches: Column) -> Column:
+        pairs = F.zip_with(_gaps(text, rule.regex), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+        start = F.struct(F.lit(0).alias("at"), _none().alias("found"))
+        found = F.aggregate(pairs, start, add, lambda state: state["found"])
+        return F.when(F.size(matches) > 0, found).otherwise(_none())
 
     def add(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.length(pair["gap"])
@@ -45,15 +52,30 @@ def find_all(text: Column, rule: Rule, rank: int = 0) -> Column:
             .alias("found"),
         )
 
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, start, add, lambda state: state["found"])
+    return let(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), with_offsets)
+
+
+def _none() -> Column:
+    return F.array().cast(_CANDIDATES)
+
+
+def _gaps(text: Column, regex: str) -> Column:
+    """Texts between the matches.  ``split`` compiles its regex for every row,
+    ``regexp_replace`` does not, so the matches first become one rare character
+    at which to split; a text that has it already is split the slow way."""
+    marked = F.regexp_replace(text, regex, _RARE)
+    return F.when(text.contains(_RARE), F.split(text, regex, -1)).otherwise(F.split(marked, _RARE, -1))
+
+
+def _found(text: Column, rules: Sequence[Rule]) -> Column:
+    """Matches of all rules, unordered; rules that need the same mark share the test."""
 
+    def of(mark: str | None) -> Column:
+        lists = [find_all(text, rule, rank) for rank, rule in enumerate(rules) if rule.needs == mark]
+        test = text.rlike(r"\p{Nd}") if mark is None else text.contains(mark)
+        return F.when(test, F.concat(*lists)).otherwise(_none())
 
-def _guarded(text: Column, rule: Rule, rank: int) -> Column:
-    found = find_all(text, rule, rank)
-    if rule.needs is None:
-        return F.when(text.rlike(r"\p{Nd}"), found).otherwise(F.array().cast(_CANDIDATES))
-    return F.when(text.contains(rule.needs), found).otherwise(F.array().cast(_CANDIDATES))
+    return F.concat(*[of(mark) for mark in dict.fromkeys(rule.needs for rule in rules)])
 
 
 def _keep_disjoint(candidates: Column) -> Column:
@@ -69,7 +91,8 @@ def _keep_disjoint(candidates: Column) -> Column:
             .otherwise(kept)
         )
 
-    return F.aggregate(candidates, F.array().cast(_CANDIDATES), step)
+    walked = F.aggregate(candidates, _none(), step)
+    return F.when(F.size(candidates) > 1, walked).otherwise(candidates)
 
 
 def _to_spans(candidates: Column) -> Column:
@@ -81,8 +104,7 @@ def _to_spans(candidates: Column) -> Column:
 
 def candidate_spans(text: Column, rules: Sequence[Rule] = RULES) -> Column:
     """All matches of all rules, before overlaps are resolved."""
-    found = F.concat(*[_guarded(text, rule, rank) for rank, rule in enumerate(rules)])
-    return _to_spans(F.sort_array(found))
+    return _to_spans(F.sort_array(_found(text, rules)))
 
 
 def detect(text: Column, rules: Sequence[Rule] = RULES) -> Column:
@@ -93,8 +115,7 @@ def detect(text: Column, rules: Sequence[Rule] = RULES) -> Column:
     """
     marks = [rule.needs for rule in rules if rule.needs]
     trigger = "|".join([r"\p{Nd}", *marks])
-    found = F.concat(*[_guarded(text, rule, rank) for rank, rule in enumerate(rules)])
-    spans = _to_spans(_keep_disjoint(F.sort_array(found)))
+    spans = let(F.sort_array(_found(text, rules)), lambda found: _to_spans(_keep_disjoint(found)))
     return F.when(text.rlike(trigger), spans).otherwise(F.array().cast(SPANS_TYPE))
 
 

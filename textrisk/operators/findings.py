@@ -36,14 +36,18 @@ def candidates(df: DataFrame, *, text: str = "text", keep: Sequence[str] = ("rec
 
 def with_rule_columns(df: DataFrame, *, text: str = "text") -> DataFrame:
     """Score, counts, explanation, types, weak label and redacted text from ``spans``."""
-    spans = F.col("spans")
-    return df.withColumns(
+    spans, counts = F.col("spans"), F.col("counts_by_type")
+    counted = df.withColumns({"counts_by_type": scoring.counts_by_type(spans), "redacted_text": redact(F.col(text), spans)})
+    return counted.withColumns(
         {
-            "rule_score": scoring.rule_score(spans),
-            "counts_by_type": scoring.counts_by_type(spans),
-            "explanation": scoring.explanation(spans),
-            "pii_types": scoring.pii_types(spans),
-            "y_risk": scoring.weak_label(spans),
-            "redacted_text": redact(F.col(text), spans),
+            "rule_score": scoring.rule_score(counts),
+            "explanation": scoring.explanation(counts),
+            "pii_types": scoring.pii_types(counts),
+            "y_risk": scoring.weak_label(counts),
         }
     )
+
+
+def with_counts(df: DataFrame, *, text: str = "text") -> DataFrame:
+    """Add ``spans`` and ``counts_by_type`` only."""
+    return with_spans(df, text=text).withColumn("counts_by_type", scoring.counts_by_type(F.col("spans")))

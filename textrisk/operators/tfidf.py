@@ -31,19 +31,19 @@ def term_counts(docs: DataFrame, *, keep: Sequence[str] = ("record_id",)) -> Dat
     the place where it starts and the place where the next one does.
     """
     ordered = docs.select(*keep, F.sort_array("tokens").alias("_sorted"))
-    tokens = F.col("_sorted")
-    places = F.transform(tokens, lambda t, i: F.struct(i.alias("at"), t.alias("term")))
-    is_start = lambda p, i: (i == 0) | (p["term"] != F.get(tokens, i - 1))
-    starts = ordered.select(*keep, F.size(tokens).alias("_size"), F.filter(places, is_start).alias("_starts"))
-    first = F.col("_starts")
+    tokens, starts = F.col("_sorted"), F.col("_starts")
+    places = F.sequence(F.lit(0), F.size(tokens) - 1)
+    is_start = lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1))
+    placed = ordered.withColumn(
+        "_starts", F.when(F.size(tokens) > 0, F.filter(places, is_start)).otherwise(F.array().cast("array<int>"))
+    )
     counts = F.transform(
-        first,
-        lambda p, i: F.struct(
-            p["term"].alias("term"),
-            (F.coalesce(F.get(first, i + 1)["at"], F.col("_size")) - p["at"]).alias("tf"),
+        starts,
+        lambda at, i: F.struct(
+            F.get(tokens, at).alias("term"), (F.coalesce(F.get(starts, i + 1), F.size(tokens)) - at).alias("tf")
         ),
     )
-    return starts.select(*keep, F.inline(counts))
+    return placed.select(*keep, F.inline(counts))
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -85,8 +85,8 @@ def weigh(postings: DataFrame, terms: DataFrame, *, keep: Sequence[str] = ("reco
     """
     raw = attach_terms(postings, terms, broadcast_terms=broadcast_terms)
     raw = raw.withColumn("weight", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(*keep).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return raw.join(norms, list(keep)).withColumn("weight", F.col("weight") / F.col("norm")).drop("norm")
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*keep)))
+    return raw.withColumn("weight", F.col("weight") / length)
 
 
 def top_terms(contributions: DataFrame, *, keep: Sequence[str] = ("record_id",), limit: int = 5) -> DataFrame:
