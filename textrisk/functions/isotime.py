@@ -59,9 +59,10 @@ def _instant(seconds: Column, micros: Column) -> Column:
 
 def epoch_to_iso(epoch: Column) -> Column:
     """Seconds since 1970 (text or number, fractions allowed); null if not one."""
-    text = strip(epoch.cast("string"))
-    number = F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit(""))).try_cast("double")
-    return let(number, _number_to_iso)
+    def number(text: Column) -> Column:
+        return F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit(""))).try_cast("double")
+
+    return let(let(strip(epoch.cast("string")), number), _number_to_iso)
 
 
 def _number_to_iso(value: Column) -> Column:
@@ -70,17 +71,23 @@ def _number_to_iso(value: Column) -> Column:
     return F.when(value.between(_FIRST_SECOND - 1, _LAST_SECOND + 1), let(instant, _format))
 
 
+def _number(text: Column, start: int, length: int) -> Column:
+    """Digits at a place of a text that has passed the pattern; null if there are
+    none.  (A failed ``try_cast`` costs an exception.)"""
+    return F.nullif(F.substring(text, start, length), F.lit("")).cast("int")
+
+
 def _unix_day(date: Column) -> Column:
     """Days since 1970 of a date without dashes: ``yyyymmdd``, ``yyyyWww``, ``yyyyWwwd``."""
     year = F.substring(date, 1, 4)
     calendar = F.try_to_date(date, "yyyyMMdd")
-    week = F.substring(date, 6, 2).try_cast("int")
-    weekday = F.coalesce(F.substring(date, 8, 1).try_cast("int"), F.lit(1))
+    week = _number(date, 6, 2)
+    weekday = F.coalesce(_number(date, 8, 1), F.lit(1))
     # The fourth of January always lies in the first week.
     fourth = F.try_to_date(F.concat(year, F.lit("0104")), "yyyyMMdd")
     monday = F.date_add(fourth, (week - 1) * 7 - F.weekday(fourth))
     # Week 53 exists only if its Thursday still lies in the year.
-    exists = (week >= 1) & weekday.between(1, 7) & (F.year(F.date_add(monday, 3)) == year.try_cast("int"))
+    exists = (week >= 1) & weekday.between(1, 7) & (F.year(F.date_add(monday, 3)) == _number(date, 1, 4))
     day = F.when(date.contains("W"), F.when(exists, F.date_add(monday, weekday - 1))).otherwise(calendar)
     return F.when(year != "0000", F.unix_date(day))
 
@@ -89,7 +96,7 @@ def _clock(time: Column) -> Column:
     """Fields of a time without colons: ``hh[mm[ss[.fraction]]]``; empty is zero."""
 
     def part(start: int) -> Column:
-        return F.coalesce(F.substring(time, start, 2).try_cast("int"), F.lit(0))
+        return F.coalesce(_number(time, start, 2), F.lit(0))
 
     valid = (part(1) <= 23) & (part(3) <= 59) & (part(5) <= 59)
     return F.struct(
@@ -132,6 +139,7 @@ def to_iso_utc(value: Column) -> Column:
     precision, fractions with point or comma, and offsets are understood.  A
     time without offset counts as UTC.
     """
-    text = strip(value)
-    with_offset = F.when(text.endswith("Z"), F.replace(text, F.lit("Z"), F.lit("+00:00"))).otherwise(text)
-    return let(with_offset, _parse)
+    def with_offset(text: Column) -> Column:
+        return F.when(text.endswith("Z"), F.replace(text, F.lit("Z"), F.lit("+00:00"))).otherwise(text)
+
+    return let(let(strip(value), with_offset), _parse)
