@@ -49,7 +49,7 @@ GOLDEN = [
 def analyzed(spark):
     texts = [(i, row[0]) for i, row in enumerate(GOLDEN)]
     df = spark.createDataFrame(texts, "record_id int, text string")
-    rows = analyze(df).withColumn("n", F.size(candidate_spans(F.col("text")))).collect()
+    rows = analyze(df).withColumn("n", F.size(candidate_spans())).collect()
     return {r.record_id: r for r in rows}
 
 
@@ -72,8 +72,8 @@ def random_texts(n: int) -> list[str]:
 
 def test_spans_hold_together_on_random_texts(spark):
     df = spark.createDataFrame([(t,) for t in random_texts(2000)], "text string")
-    spans = detect(F.col("text"))
-    df = df.select("text", spans.alias("spans"), candidate_spans(F.col("text")).alias("found"))
+    spans = detect()
+    df = df.select("text", spans.alias("spans"), candidate_spans().alias("found"))
     df = df.withColumn("redacted", redact(F.col("text"), F.col("spans")))
     for row in df.collect():
         text, kept = row.text, row.spans
@@ -102,7 +102,7 @@ def test_matches_agree_with_a_regex_engine_of_another_make(spark):
     texts = random_texts(2000)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     rules = [r for r in RULES if r.name in plain]
-    for row in df.select("i", candidate_spans(F.col("text"), rules).alias("found")).collect():
+    for row in df.select("i", candidate_spans("text", rules).alias("found")).collect():
         expected = {(k, m.start(), m.end()) for k, p in plain.items() for m in re.finditer(p, texts[row.i])}
         assert {(s.type, s.start, s.end) for s in row.found} == expected, texts[row.i]
 
@@ -118,7 +118,7 @@ def test_exploding_detects_only_once(spark):
 def test_rules_are_a_parameter(spark):
     df = spark.createDataFrame([("a@b.co 1.2.3.4",)], "text string")
     only_ip = [r for r in RULES if r.name == "IPV4"]
-    assert [s.type for s in df.select(detect(F.col("text"), only_ip).alias("s")).first().s] == ["IPV4"]
+    assert [s.type for s in df.select(detect("text", only_ip).alias("s")).first().s] == ["IPV4"]
 
 
 def test_long_text_is_processed_whole(spark):

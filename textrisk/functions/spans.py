@@ -3,6 +3,9 @@
 A span column has type ``array<struct<type,start,end,match>>``; offsets count
 code points from zero and ends are exclusive.  Everything here is row-local, so
 it adds no shuffle and also works on a streaming DataFrame.
+
+Detection is written as SQL text: the expression is large, and building it call
+by call from Python takes longer than running it on a small table.
 """
 
 from __future__ import annotations
@@ -12,111 +15,88 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textrisk.functions.binding import let
 from textrisk.functions.patterns import RULES, Rule
-from textrisk.schema import SPANS_TYPE
 
 # A code point that is not a character and has no place in text.
 _RARE = "\uffff"
-_CANDIDATES = "array<struct<start:int,end:int,rank:int,type:string,match:string>>"
+_NONE = "cast(array() AS array<struct<start:int,stop:int,rank:int,type:string,match:string>>)"
 
 
-def find_all(text: Column, rule: Rule, rank: int = 0) -> Column:
-    """Every match of one rule with its offsets, left to right.
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    The gaps between the matches and the matches themselves come from two regex
-    passes; their running lengths give the offsets.  The gaps are found only
-    where there is a match.
-    """
 
-    def with_offsets(matches: Column) -> Column:
-        pairs = F.zip_with(_gaps(text, rule.regex), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-        start = F.struct(F.lit(0).alias("at"), _none().alias("found"))
-        found = F.aggregate(pairs, start, add, lambda state: state["found"])
-        return F.when(F.size(matches) > 0, found).otherwise(_none())
-
-    def add(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        span = F.struct(
-            begin.alias("start"),
-            end.alias("end"),
-            F.lit(rank).alias("rank"),
-            F.lit(rule.name).alias("type"),
-            pair["match"].alias("match"),
-        )
-        return F.struct(
-            F.coalesce(end, begin).alias("at"),
-            F.when(pair["match"].isNull(), state["found"])
-            .otherwise(F.concat(state["found"], F.array(span)))
-            .alias("found"),
-        )
-
-    return let(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), with_offsets)
-
-
-def _none() -> Column:
-    return F.array().cast(_CANDIDATES)
-
-
-def _gaps(text: Column, regex: str) -> Column:
+def _gaps(text: str, regex: str) -> str:
     """Texts between the matches.  ``split`` compiles its regex for every row,
     ``regexp_replace`` does not, so the matches first become one rare character
     at which to split; a text that has it already is split the slow way."""
-    marked = F.regexp_replace(text, regex, _RARE)
-    return F.when(text.contains(_RARE), F.split(text, regex, -1)).otherwise(F.split(marked, _RARE, -1))
+    return f"""IF(contains({text}, '{_RARE}'),
+        split({text}, r'{regex}', -1),
+        split(regexp_replace({text}, r'{regex}', '{_RARE}'), '{_RARE}', -1))"""
 
 
-def _found(text: Column, rules: Sequence[Rule]) -> Column:
-    """Matches of all rules, unordered; rules that need the same mark share the test."""
+def _find_all(text: str, rule: Rule, rank: int) -> str:
+    """Every match of one rule with its offsets, left to right.
+
+    The gaps between the matches and the matches themselves come from two regex
+    passes; their running lengths give the offsets.  The gaps are found only
+    where there is a match.
+    """
+    with_offsets = f"""aggregate(
+        zip_with({_gaps(text, rule.regex)}, matches, (g, m) -> struct(g AS gap, m AS match)),
+        struct(0 AS at, {_NONE} AS found),
+        (state, pair) -> {_let("begin", "state.at + length(pair.gap)", f"""IF(pair.match IS NULL,
+            struct(begin AS at, state.found AS found),
+            struct(begin + length(pair.match) AS at,
+                   concat(state.found, array(struct(begin AS start, begin + length(pair.match) AS stop,
+                       {rank} AS rank, '{rule.name}' AS type, pair.match AS match))) AS found))""")},
+        state -> state.found)"""
+    matches = f"regexp_extract_all({text}, r'{rule.regex}', 0)"
+    return _let("matches", matches, f"IF(size(matches) > 0, {with_offsets}, {_NONE})")
 
-    def of(mark: str | None) -> Column:
-        lists = [find_all(text, rule, rank) for rank, rule in enumerate(rules) if rule.needs == mark]
-        test = text.rlike(r"\p{Nd}") if mark is None else text.contains(mark)
-        return F.when(test, F.concat(*lists)).otherwise(_none())
 
-    return F.concat(*[of(mark) for mark in dict.fromkeys(rule.needs for rule in rules)])
+def _found(text: str, rules: Sequence[Rule]) -> str:
+    """Matches of all rules by start, end and rank of the rule; rules that need
+    the same mark share the test for it."""
 
+    def of(mark: str | None) -> str:
+        lists = [_find_all(text, rule, rank) for rank, rule in enumerate(rules) if rule.needs == mark]
+        test = f"{text} RLIKE r'\\p{{Nd}}'" if mark is None else f"contains({text}, '{mark}')"
+        return f"IF({test}, concat({', '.join(lists)}), {_NONE})"
 
-def _keep_disjoint(candidates: Column) -> Column:
-    """Walk the sorted candidates once; of two that overlap the longer one stays,
-    the earlier one if they are equally long."""
+    marks = dict.fromkeys(rule.needs for rule in rules)
+    return f"sort_array(concat({', '.join(of(mark) for mark in marks)}))"
 
-    def step(kept: Column, span: Column) -> Column:
-        last = F.element_at(kept, -1)
-        longer = (span["end"] - span["start"]) > (last["end"] - last["start"])
-        return (
-            F.when((F.size(kept) == 0) | (span["start"] >= last["end"]), F.concat(kept, F.array(span)))
-            .when(longer, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(span)))
-            .otherwise(kept)
-        )
 
-    walked = F.aggregate(candidates, _none(), step)
-    return F.when(F.size(candidates) > 1, walked).otherwise(candidates)
+def _spans(candidates: str) -> str:
+    return f"transform({candidates}, c -> struct(c.type AS type, c.start AS start, c.stop AS `end`, c.match AS match))"
 
 
-def _to_spans(candidates: Column) -> Column:
-    return F.transform(
-        candidates,
-        lambda c: F.struct(c["type"].alias("type"), c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match")),
-    )
+# Walk the sorted candidates once; of two that overlap the longer one stays, the
+# earlier one if they are equally long.
+_DISJOINT = f"""IF(size(found) < 2, found, aggregate(found, {_NONE}, (kept, span) -> CASE
+    WHEN size(kept) = 0 OR span.start >= element_at(kept, -1).stop THEN concat(kept, array(span))
+    WHEN span.stop - span.start > element_at(kept, -1).stop - element_at(kept, -1).start
+        THEN concat(slice(kept, 1, size(kept) - 1), array(span))
+    ELSE kept END))"""
 
 
-def candidate_spans(text: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """All matches of all rules, before overlaps are resolved."""
-    return _to_spans(F.sort_array(_found(text, rules)))
+def candidate_spans(text: str = "text", rules: Sequence[Rule] = RULES) -> Column:
+    """All matches of all rules in a text column, before overlaps are resolved."""
+    return F.expr(f"IF({text} IS NULL, array(), {_spans(_found(text, rules))})")
 
 
-def detect(text: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """Disjoint spans of personal data in ``text``; empty for null or empty text.
+def detect(text: str = "text", rules: Sequence[Rule] = RULES) -> Column:
+    """Disjoint spans of personal data in a text column; empty for null or "".
 
     Most texts contain neither a digit nor any of the required markers, so one
     cheap test decides whether the rules run at all.
     """
     marks = [rule.needs for rule in rules if rule.needs]
     trigger = "|".join([r"\p{Nd}", *marks])
-    spans = let(F.sort_array(_found(text, rules)), lambda found: _to_spans(_keep_disjoint(found)))
-    return F.when(text.rlike(trigger), spans).otherwise(F.array().cast(SPANS_TYPE))
+    spans = _let("found", _found(text, rules), _spans(_DISJOINT))
+    return F.expr(f"IF({text} RLIKE r'{trigger}', {spans}, {_spans(_NONE)})")
 
 
 def redact(text: Column, spans: Column) -> Column:

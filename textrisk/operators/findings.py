@@ -15,7 +15,7 @@ from textrisk.functions.spans import candidate_spans, detect, redact
 def with_spans(df: DataFrame, *, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add the column ``spans``.  Derive everything else from that column: it is
     the expensive one, and deriving reads it without computing it again."""
-    return df.withColumn("spans", detect(F.col(text), rules))
+    return df.withColumn("spans", detect(text, rules))
 
 
 def explode_spans(df: DataFrame, *, keep: Sequence[str] = ("record_id",)) -> DataFrame:
@@ -30,7 +30,7 @@ def explode_spans(df: DataFrame, *, keep: Sequence[str] = ("record_id",)) -> Dat
 
 def candidates(df: DataFrame, *, text: str = "text", keep: Sequence[str] = ("record_id",), rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per match of any rule, overlapping ones included."""
-    found = df.select(*keep, F.explode(candidate_spans(F.col(text), rules)).alias("span"))
+    found = df.select(*keep, F.explode(candidate_spans(text, rules)).alias("span"))
     return found.select(*keep, "span.*")
 
 
