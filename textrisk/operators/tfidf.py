@@ -89,16 +89,17 @@ def weigh(postings: DataFrame, terms: DataFrame, *, keep: Sequence[str] = ("reco
     return raw.withColumn("weight", F.col("weight") / length)
 
 
-def top_terms(contributions: DataFrame, *, keep: Sequence[str] = ("record_id",), limit: int = 5) -> DataFrame:
-    """Per record the terms with the largest positive ``contribution``, best first.
+def gather(contributions: DataFrame, *, keep: Sequence[str] = ("record_id",), limit: int = 5) -> DataFrame:
+    """Per record the sum of ``contribution`` as ``total`` and, as ``top_terms``,
+    the terms with the largest positive ones, best first.
 
-    Equal contributions are ordered by term, last one first.
+    Equal contributions are ordered by term, last one first.  The list that is
+    sorted holds the terms of one record; after ``weigh`` the rows of a record
+    are together already, so nothing is shuffled again.
     """
-    best_first = Window.partitionBy(*keep).orderBy(F.desc("contribution"), F.desc("term"))
-    best = (
-        contributions.filter(F.col("contribution") > 0)
-        .withColumn("_place", F.row_number().over(best_first))
-        .filter(F.col("_place") <= limit)
+    raising = F.when(F.col("contribution") > 0, F.struct("contribution", "term"))
+    gathered = contributions.groupBy(*keep).agg(
+        F.sum("contribution").alias("total"), F.sort_array(F.collect_list(raising), asc=False).alias("_raising")
     )
-    listed = best.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("_place", "term"))).alias("_best"))
-    return listed.select(*keep, F.transform("_best", lambda b: b["term"]).alias("top_terms"))
+    best = F.transform(F.slice("_raising", 1, limit), lambda b: b["term"])
+    return gathered.select(*keep, "total", best.alias("top_terms"))

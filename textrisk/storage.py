@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +31,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textrisk/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@dataclass(frozen=True)
+class Stored:
+    """A table written to the shared folder, to be dropped when done with."""
+
+    table: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        """Delete the files; the table must not be read afterwards."""
+        context = self.table.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def store(df: DataFrame, name: str) -> Stored:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Unlike a cache this survives the loss of executors, and later steps read
@@ -38,4 +53,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``store`` for tables that stay."""
+    return store(df, name).table
