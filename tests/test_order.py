@@ -40,7 +40,7 @@ def test_one_instant_holding_most_rows(spark):
 def test_copies_are_divided_by_number(spark):
     rows = [("same", "2024-01-01T00:00:00Z", f"t{i % 2}") for i in range(300)] + [("a", "2023-01-01T00:00:00Z", "t")]
     df = spark.createDataFrame(rows, "record_id string, created_at string, text string").repartition(4)
-    for n in (1, 100, 151, 300):
+    for n in (1, 100, 151, 152, 300, 301):
         first, second = split_in_order(df, n)
         a, b = [tuple(r) for r in first.collect()], [tuple(r) for r in second.collect()]
         assert len(a) == n and sorted(a + b) == sorted(rows)

@@ -73,72 +73,54 @@ def first_rows(rows: DataFrame, n: int) -> DataFrame:
     return head.unionByName(tail.drop("_n", *ROW_ORDER))
 
 
-def _levels(order: Column, id_hash: Column) -> list[Column]:
-    """Ever finer groups: hour, second and instant, then slices of the id hash."""
-    return [
-        F.substring(order, 1, 13),
-        F.substring(order, 1, 19),
-        order,
-        F.substring(id_hash, 1, 3),
-        F.substring(id_hash, 1, 6),
-        id_hash,
-    ]
+def _slices(digest: Column) -> list[Column]:
+    """Ever finer groups by a hexadecimal digest, a few thousand per group."""
+    return [F.substring(digest, 1, 3), F.substring(digest, 1, 6), digest]
 
 
 def split_in_order(df: DataFrame, n: int, order: str = "created_at", key: str = "record_id") -> tuple[DataFrame, DataFrame]:
     """The first ``n`` rows by ``order`` (as text; null counts as empty) and the rest.
 
-    Rows of the same instant follow the MD5 of ``key``, which spreads evenly
-    however the keys look.  Each level counts the groups inside the group found
-    by the level above, so no step sorts the table or gathers an instant that
-    holds many rows; the result is a filter that is pushed into the scan.
-    Copies of one key that straddle the cut are told apart by the MD5 of the
-    whole row; rows equal in every column are interchangeable and are divided
-    by number.
+    ``order`` is meant to hold ISO times.  Rows of the same instant follow the
+    MD5 of ``key``, which spreads evenly however the keys look, and rows that
+    share the key as well follow the MD5 of the whole row.  Each level (hour,
+    second, instant, slices of a digest) counts the groups inside the group
+    found by the level above, so no step sorts the table or gathers an instant
+    that holds many rows; the result is a filter that is pushed into the scan.
+    Rows equal in every column are interchangeable and are divided by number.
     """
-    value = F.coalesce(F.col(order), F.lit(""))
-    id_hash = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    inside = F.lit(True)
-    before = F.lit(False)
-    left = n
     if n <= 0:
         return df.limit(0), df
-    for level in _levels(value, id_hash):
-        sizes = df.filter(inside).groupBy(level.alias("bound")).agg(F.count(F.lit(1)).alias("n_rows"))
-        found = _group_reaching(sizes, ("bound",), left)
-        if found is None:
-            return df, df.limit(0)
-        (bound,), skipped = found
-        before = before | (inside & (level < bound))
-        inside = inside & (level == bound)
-        left -= skipped
-    group_size = df.filter(inside).count()
-    if left == group_size:
-        first = before | inside
-        return df.filter(first), df.filter(~first)
-    return _divide_copies(df, before, inside, left)
-
-
-def _divide_copies(df: DataFrame, before: Column, inside: Column, n: int) -> tuple[DataFrame, DataFrame]:
-    """Divide the copies of one key: equal rows are counted, the counts are cut
-    at ``n``, and each side gets its rows back by repetition."""
-    names = df.columns
-    row_hash = F.md5(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
-    counted = df.filter(inside).groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
-    upto = Window.orderBy("_hash").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_hash", row_hash).withColumn("_upto", F.sum("_copies").over(upto))
-    taken = F.greatest(F.lit(0), F.least(F.col("_copies"), n - (F.col("_upto") - F.col("_copies"))))
-
-    def repeat(count: Column) -> DataFrame:
-        # Two steps, so that a large number of copies is made by many tasks.
-        chunk = 1 << 16
-        pieces = ranked.withColumn("_k", count).filter(F.col("_k") > 0)
-        pieces = pieces.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_k") - 1, F.lit(chunk).cast("long"))))
-        pieces = pieces.withColumn("_m", F.least(F.lit(chunk), F.col("_k") - F.col("_from")).cast("int"))
-        pieces = pieces.repartition("_from")
-        return pieces.select(*names, F.explode(F.array_repeat(F.lit(1), F.col("_m"))).alias("_one")).drop("_one")
-
-    rest = ~(before | inside)
-    first = df.filter(before).unionByName(repeat(taken))
-    second = df.filter(rest).unionByName(repeat(F.col("_copies") - taken))
+    value = F.coalesce(F.col(order), F.lit(""))
+    by_time = [F.substring(value, 1, 13), F.substring(value, 1, 19), value]
+    by_key = _slices(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    by_row = _slices(F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})))
+    before, inside, left = F.lit(False), F.lit(True), n
+    for levels in (by_time + by_key, by_row):
+        for level in levels:
+            sizes = df.filter(inside).groupBy(level.alias("bound")).agg(F.count(F.lit(1)).alias("n_rows"))
+            found = _group_reaching(sizes, ("bound",), left)
+            if found is None:
+                return df, df.limit(0)
+            (bound,), skipped = found
+            before = before | (inside & (level < bound))
+            inside = inside & (level == bound)
+            left -= skipped
+        size = df.filter(inside).count()
+        if left == size:
+            first = before | inside
+            return df.filter(first), df.filter(~first)
+    copies = df.filter(inside)
+    first = df.filter(before).unionByName(_copies(copies, left))
+    second = df.filter(~(before | inside)).unionByName(_copies(copies, size - left))
     return first, second
+
+
+def _copies(equal_rows: DataFrame, n: int) -> DataFrame:
+    """``n`` copies of the row that all of ``equal_rows`` are, made by many tasks."""
+    names = equal_rows.columns
+    one = equal_rows.groupBy(*names).agg(F.lit(n).cast("long").alias("_n"))
+    chunk = F.lit(1 << 16).cast("long")
+    parts = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, chunk)).alias("_from"))
+    parts = parts.repartition("_from").withColumn("_size", F.least(chunk, F.col("_n") - F.col("_from")).cast("int"))
+    return parts.select(*names, F.explode(F.array_repeat(F.lit(1), F.col("_size"))).alias("_one")).drop("_one")

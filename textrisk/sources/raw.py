@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from textrisk.functions.identity import STRICT_JSON
+from textrisk.functions.patterns import SPACE
 from textrisk.functions.text import strip
 from textrisk.operators.prefix import ROW_ORDER, first_rows, with_position
 from textrisk.schema import RAW_FIELDS
@@ -20,6 +21,10 @@ from textrisk.schema import RAW_FIELDS
 _FORMATS = {".jsonl": "jsonl", ".csv": "csv"}
 
 
+# Lines that are not blank.
+_HAS_TEXT = f"value RLIKE r'[^{SPACE}]'"
+
+
 def format_of(path: str) -> str:
     """Input format by file name; anything but .jsonl and .csv is an error."""
     for suffix, name in _FORMATS.items():
@@ -41,10 +46,10 @@ def parse_json_lines(lines: DataFrame, fields: Sequence[str]) -> DataFrame:
     """
     record = StructType([StructField(name, StringType()) for name in fields])
     others = [c for c in lines.columns if c != "value"]
-    stripped = lines.withColumn("value", strip(F.col("value"))).filter(F.col("value") != "")
-    parsed = stripped.select(
+    line = strip(F.col("value"))
+    parsed = lines.filter(_HAS_TEXT).select(
         *others,
-        F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), ArrayType(record), STRICT_JSON).alias("objects"),
+        F.from_json(F.concat(F.lit("["), line, F.lit("]")), ArrayType(record), STRICT_JSON).alias("objects"),
     )
     only = F.get(F.col("objects"), F.lit(0))
     one_object = F.col("objects").isNotNull() & (F.size("objects") == 1) & only.isNotNull()
@@ -91,7 +96,7 @@ def read_raw(
     if kind == "jsonl":
         lines = spark.read.text(path)
         if max_rows is not None:
-            lines = with_position(lines.filter(strip(F.col("value")) != ""))
+            lines = with_position(lines.filter(_HAS_TEXT))
         rows = parse_json_lines(lines, fields)
     elif kind == "csv":
         rows = (

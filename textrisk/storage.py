@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
+_stand_ins: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,9 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"Set {_DIR_KEY} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="textrisk-")
-    spark.conf.set(_DIR_KEY, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _stand_ins:
+        _stand_ins[application] = tempfile.mkdtemp(prefix="textrisk-")
+    return _stand_ins[application]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
