@@ -47,6 +47,22 @@ def test_copies_are_divided_by_number(spark):
         assert ("a", "2023-01-01T00:00:00Z", "t") in a
 
 
+def test_the_cut_reaches_the_scan(spark, tmp_path):
+    rows = [(f"id{i}", f"2024-01-01T00:00:{i:02d}Z", "t") for i in range(50)]
+    spark.createDataFrame(rows, "record_id string, created_at string, text string").write.parquet(str(tmp_path / "t"))
+    first, second = split_in_order(spark.read.parquet(str(tmp_path / "t")), 40)
+    assert (first.count(), second.count()) == (40, 10)
+    for part, condition in ((first, "LessThanOrEqual(created_at,2024-01-01T00:00:39Z)"), (second, "GreaterThanOrEqual(created_at,2024-01-01T00:00:39Z)")):
+        assert condition in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_missing_times(spark):
+    rows = [(f"id{i}", None if i % 2 else "", "t") for i in range(20)]
+    df = spark.createDataFrame(rows, "record_id string, created_at string, text string")
+    first, second = split_in_order(df, 7)
+    assert {r.record_id for r in first.collect()} == {r[0] for r in expected_order(rows)[:7]} and second.count() == 13
+
+
 def test_time_split_errors(spark):
     empty = spark.createDataFrame([], "record_id string, created_at string, text string")
     with pytest.raises(ValueError, match="No valid records"):

@@ -91,29 +91,47 @@ def split_in_order(df: DataFrame, n: int, order: str = "created_at", key: str =
     """
     if n <= 0:
         return df.limit(0), df
-    value = F.coalesce(F.col(order), F.lit(""))
-    by_time = [F.substring(value, 1, 13), F.substring(value, 1, 19), value]
+    time = F.col(order)
+    value = F.coalesce(time, F.lit(""))
+    inside, left, instant = F.lit(True), n, ""
+    for level in (F.substring(value, 1, 13), F.substring(value, 1, 19), value):
+        found = _level_reaching(df.filter(inside), level, left)
+        if found is None:
+            return df, df.limit(0)
+        instant, left = found
+        # The first condition is one that a scan can use to skip row groups.
+        inside = time.startswith(instant) & (level == instant) if instant else level == instant
+
+    inside = time == instant if instant else value == ""
+    before = F.lit(False)
     by_key = _slices(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
     by_row = _slices(F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})))
-    before, inside, left = F.lit(False), F.lit(True), n
-    for levels in (by_time + by_key, by_row):
+    for levels in (by_key, by_row):
         for level in levels:
-            sizes = df.filter(inside).groupBy(level.alias("bound")).agg(F.count(F.lit(1)).alias("n_rows"))
-            found = _group_reaching(sizes, ("bound",), left)
-            if found is None:
-                return df, df.limit(0)
-            (bound,), skipped = found
+            bound, left = _level_reaching(df.filter(inside), level, left)
             before = before | (inside & (level < bound))
             inside = inside & (level == bound)
-            left -= skipped
         size = df.filter(inside).count()
         if left == size:
-            first = before | inside
-            return df.filter(first), df.filter(~first)
+            before, left, size = before | inside, 0, 0
+            break
+
+    # Again the plain comparisons are there for the scan.
+    earlier = value < instant
+    first = df.filter(time.isNull() | (time <= instant)).filter(earlier | before)
+    rest = df.filter(time >= instant) if instant else df
+    second = rest.filter(~(earlier | before))
+    if size == 0:
+        return first, second
     copies = df.filter(inside)
-    first = df.filter(before).unionByName(_copies(copies, left))
-    second = df.filter(~(before | inside)).unionByName(_copies(copies, size - left))
-    return first, second
+    return first.unionByName(_copies(copies, left)), second.filter(~inside).unionByName(_copies(copies, size - left))
+
+
+def _level_reaching(rows: DataFrame, level: Column, n: int) -> tuple[str, int] | None:
+    """The group of ``level`` that holds row ``n`` and the place of that row in it."""
+    sizes = rows.groupBy(level.alias("bound")).agg(F.count(F.lit(1)).alias("n_rows"))
+    found = _group_reaching(sizes, ("bound",), n)
+    return None if found is None else (found[0][0], n - found[1])
 
 
 def _copies(equal_rows: DataFrame, n: int) -> DataFrame:
