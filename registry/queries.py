@@ -14,9 +14,9 @@ from textrisk.functions.patterns import RULES
 from textrisk.operators import metrics, normalize, tfidf
 from textrisk.operators.features import with_numeric_features, with_tokens
 from textrisk.operators.findings import candidates, explode_spans, with_counts, with_rule_columns, with_spans
-from textrisk.operators.prefix import first_rows, split_in_order, with_position
+from textrisk.operators.prefix import first_rows, with_position
 from textrisk.plans.analyze import analyze, assess, with_combined_score
-from textrisk.plans.audit import audit, audit_rows, read_audit, run_audit, write_audit
+from textrisk.plans.audit import audit_rows, read_audit, run_audit, write_audit
 from textrisk.plans.model import RiskModel, Weights
 from textrisk.plans.train import evaluate, prepare, time_split, train
 from textrisk.schema import RAW_FIELDS

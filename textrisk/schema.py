@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    ArrayType,
     IntegerType,
     StringType,
     StructField,
     StructType,
 )
 
+# One finding; a span column is an array of these.
 SPAN = StructType(
     [
         StructField("type", StringType()),
@@ -18,7 +18,6 @@ SPAN = StructType(
         StructField("match", StringType()),
     ]
 )
-SPANS_TYPE = ArrayType(SPAN)
 
 # One social-media record.  ``created_at`` stays an ISO-8601 UTC string ("...Z").
 RECORD = StructType(
