@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrisk.llm import line_dedup, minhash, toxicity, url_filter
+from textrisk.llm import decontaminate, imatch, line_dedup, minhash, pieces, suffix, toxicity, url_filter
 from textrisk.llm.labelled import held_out
 
 
@@ -27,6 +27,21 @@ def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return judged.withColumn("score", F.round("score", 6))
 
 
+def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.withColumn("coverage", F.round("coverage", 6))
+
+
+def op7_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return pieces.encode(docs, pieces.Vocabulary.load())
+
+
+def op8_imatch(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return imatch.edit_report(docs, imatch.lexicon(docs))
+
+
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     score = toxicity.score("text", toxicity.fit(docs, _table(spark, sf, "labels")))
@@ -34,4 +49,8 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_minhash, op4_url_filter, op9_toxicity)}
+def op10_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.repeated_passages(_table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_minhash, op4_url_filter, op5_decontaminate, op7_pieces, op8_imatch, op9_toxicity, op10_suffix)}
