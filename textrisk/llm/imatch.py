@@ -26,7 +26,7 @@ from textrisk.llm.words import mixed
 from textrisk.storage import store
 
 #: Band of the inverse document frequency, log(documents / documents with the term).
-IDF = (math.log(2), math.log(1000))
+IDF = (math.log(5), math.log(1000))
 #: Shares of the lexicon that the subsets keep; each share is drawn several times.
 SHARES = (1 / 2, 1 / 8, 1 / 32, 1 / 128, 1 / 512, 1 / 2048)
 DRAWS = 16

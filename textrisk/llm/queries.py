@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrisk.llm import decontaminate, imatch, line_dedup, minhash, pieces, suffix, toxicity, url_filter
+from textrisk.llm import decontaminate, imatch, licenses, line_dedup, minhash, pieces, quality, suffix, toxicity, url_filter
 from textrisk.llm.labelled import held_out
 
 
@@ -18,6 +18,13 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return clean.select("doc_id", "text", "n_dropped")
 
 
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    scored = quality.scored(docs, quality.fit(docs, _table(spark, sf, "labels")))
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf, "documents"))
 
@@ -32,6 +39,13 @@ def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("coverage", F.round("coverage", 6))
 
 
+def op6_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files: source and language are their directories, the id the name."""
+    name = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = _table(spark, sf, "documents").select(name.alias("path"), "text")
+    return licenses.scan(files).withColumn("cosine", F.round("cosine", 6))
+
+
 def op7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     return pieces.encode(docs, pieces.Vocabulary.load())
@@ -53,4 +67,18 @@ def op10_suffix(spark: SparkSession, sf: str) -> DataFrame:
     return suffix.repeated_passages(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_minhash, op4_url_filter, op5_decontaminate, op7_pieces, op8_imatch, op9_toxicity, op10_suffix)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_quality,
+        op3_minhash,
+        op4_url_filter,
+        op5_decontaminate,
+        op6_licenses,
+        op7_pieces,
+        op8_imatch,
+        op9_toxicity,
+        op10_suffix,
+    )
+}
