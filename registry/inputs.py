@@ -83,6 +83,50 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOTES = f"SELECT cast(o_orderkey AS string) AS record_id, {NOTE_TEXT} AS text FROM orders"
 
 
+# The same with blanks around some texts.
+_PADDED = f"CASE WHEN o_orderkey % 3 = 0 THEN '  ' || ({NOTE_TEXT}) || ' ' || chr(10) ELSE {NOTE_TEXT} END"
+
+
+def padded_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("record_id"),
+        F.lit("2024-01-01T00:00:00Z").alias("created_at"),
+        F.expr(_PADDED).alias("text"),
+        F.lit("orders").alias("community"),
+    )
+
+
+PADDED_NOTES = (
+    "SELECT cast(o_orderkey AS string) AS record_id, '2024-01-01T00:00:00Z' AS created_at, "
+    f"{_PADDED} AS text, 'orders' AS community FROM orders"
+)
+
+
+def customer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text per customer: the notes of all its orders."""
+    noted = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.expr(NOTE_TEXT).alias("note"))
+    gathered = noted.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "note"))).alias("notes"))
+    return gathered.select(F.col("o_custkey").cast("string").alias("record_id"), F.array_join("notes.note", " ").alias("text"))
+
+
+CUSTOMER_NOTES = (
+    f"SELECT cast(o_custkey AS string) AS record_id, string_agg({NOTE_TEXT}, ' ' ORDER BY o_orderkey) AS text "
+    "FROM orders GROUP BY o_custkey"
+)
+
+
+def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cells of a CSV dump; written without quotes, the commas in some bodies make further cells."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.expr("'user' || cast(o_custkey AS string)").alias("author"),
+        F.expr("CASE WHEN o_orderkey % 5 > 0 THEN cast(unix_timestamp(o_orderdate) AS string) ELSE 'n/a' END").alias("created_utc"),
+        F.expr("'t3_' || cast(o_custkey AS string)").alias("parent_id"),
+        F.expr("'t3_' || cast(o_custkey AS string)").alias("link_id"),
+        F.expr("CASE o_orderkey % 7 WHEN 2 THEN 'one,two' WHEN 3 THEN 'one,two,three' ELSE 'order ' || cast(o_orderkey AS string) END").alias("body"),
+    )
+
+
 def reddit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as JSON lines of a reddit dump, some of them blank or broken."""
     orders = table(spark, sf_dir, "orders")
@@ -113,6 +157,10 @@ def reddit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("_kind") == 10, F.expr("_line || _line"))
         .when(F.col("_kind") == 11, F.expr("'[' || _line || ']'"))
         .when(F.col("_kind") == 12, F.expr("'  ' || _line || ' '"))
+        .when(F.col("_kind") == 13, F.expr("_line || ']'"))
+        .when(F.col("_kind") == 14, F.expr("_line || '] trailing {}'"))
+        .when(F.col("_kind") == 15, F.expr("_line || '],[' || _line"))
+        .when(F.col("_kind") == 16, F.expr("_line || ',\"member\":' || _line"))
         .otherwise(F.col("_line"))
         .alias("value")
     )

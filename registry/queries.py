@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry.inputs import conversation_lines, documents, mastodon_lines, notes, reddit_lines, scan, table
+from registry.inputs import (
+    conversation_lines,
+    customer_notes,
+    documents,
+    mastodon_lines,
+    notes,
+    order_cells,
+    padded_notes,
+    reddit_lines,
+    scan,
+    table,
+)
 from textrisk.functions import identity, isotime, scoring, text
 from textrisk.functions.numeric import NUMERIC_FEATURES
 from textrisk.functions.patterns import RULES
@@ -18,7 +29,7 @@ from textrisk.operators.prefix import first_rows, with_position
 from textrisk.plans.analyze import analyze, assess, with_combined_score
 from textrisk.plans.audit import audit_rows, read_audit, run_audit, write_audit
 from textrisk.plans.model import RiskModel, Weights
-from textrisk.plans.train import evaluate, prepare, time_split, train
+from textrisk.plans.train import TrainResult, evaluate, prepare, time_split, train
 from textrisk.schema import RAW_FIELDS
 from textrisk.sources.raw import parse_json_lines, parse_labelled_dump, read_raw
 from textrisk.sources.records import export_jsonl, export_sample_jsonl, read_records, write_records
@@ -31,6 +42,7 @@ FIXED_NUMERIC = (0.0001, 0.0002, 0.01, 0.5, 0.25, 0.3, 0.2, -0.1)
 FIXED_INTERCEPT = -0.75
 FIXED_COEF = "((length(term) * 7 + df) % 11 - 5) / 10.0D"
 HEAD_ROWS = 1000
+SAMPLE_ROWS = 150
 
 
 def _plain(analyzed: DataFrame) -> DataFrame:
@@ -58,6 +70,11 @@ def rule_analysis_notes(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(analyze(notes(spark, sf)))
 
 
+def rule_analysis_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Longer texts with many findings each."""
+    return _plain(analyze(customer_notes(spark, sf)))
+
+
 def _renamed(found: DataFrame) -> DataFrame:
     return found.withColumnsRenamed({"start": "span_start", "end": "span_end", "match": "matched"})
 
@@ -302,6 +319,14 @@ def audit_csv_documents(spark: SparkSession, sf: str) -> DataFrame:
     return read_audit(spark, path, format="csv")
 
 
+def audit_csv_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for texts with blanks and line breaks at their ends."""
+    path = new_path(spark, "audit-csv")
+    scored = analyze(padded_notes(spark, sf)).withColumn("p_risk", (F.col("record_id").cast("long") % 101) / 100)
+    write_audit(audit_rows(scored), path, format="csv")
+    return read_audit(spark, path, format="csv")
+
+
 def audit_summary_documents(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.audit_summary(_audited(spark, sf)).withColumn("mean_p_risk", F.round("mean_p_risk", 6))
 
@@ -344,10 +369,20 @@ def csv_records_conversations(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "dump-csv")
     raw = parse_json_lines(conversation_lines(spark, sf), RAW_FIELDS["reddit"])
     columns = [c for c in RAW_FIELDS["reddit"] if c not in ("title", "subreddit")]
-    raw.select(*columns).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    writer = raw.select(*columns).write.option("header", True).option("quoteAll", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return normalize.accepted(normalize.reddit(read_raw(spark, path, "reddit", format="csv")))
 
 
+def csv_rejects_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a CSV dump with more cells than its header are counted, not cut."""
+    path = new_path(spark, "dump-csv")
+    order_cells(spark, sf).write.option("header", True).option("quote", "\0").csv(path)
+    judged = normalize.reddit(read_raw(spark, path, "reddit", format="csv", multi_line=False))
+    reason = F.coalesce("reject_reason", F.lit("none")).alias("reject_reason")
+    return judged.groupBy(reason).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def jsonl_roundtrip_documents(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "export")
     export_jsonl(table(spark, sf, "documents"), path)
@@ -356,7 +391,7 @@ def jsonl_roundtrip_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def sample_export_documents(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "sample")
-    export_sample_jsonl(table(spark, sf, "documents"), path)
+    export_sample_jsonl(scan(spark, sf, "documents").select("*", "_metadata"), path, SAMPLE_ROWS)
     return spark.read.schema("doc_id long, text string, lang string, source string, n_chars long").json(path)
 
 
@@ -366,19 +401,39 @@ def head_rows_orders(spark: SparkSession, sf: str) -> DataFrame:
     return first_rows(with_position(orders).drop("_metadata"), HEAD_ROWS)
 
 
-_trained: dict[tuple[str, str], RiskModel] = {}
+_trained: dict[tuple[str, str], tuple[RiskModel, TrainResult]] = {}
 
 
-def _model(spark: SparkSession, sf: str) -> RiskModel:
-    """Model trained on the documents, once per session."""
+def _training(spark: SparkSession, sf: str) -> tuple[RiskModel, TrainResult]:
+    """Model trained on the documents, once per session, as read back from its folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _trained:
         path = new_path(spark, "model")
-        train(documents(spark, sf), model_path=path)
-        _trained[key] = RiskModel.load(spark, path)
+        result = train(documents(spark, sf), model_path=path)
+        _trained[key] = RiskModel.load(spark, path), result
     return _trained[key]
 
 
+def _model(spark: SparkSession, sf: str) -> RiskModel:
+    return _training(spark, sf)[0]
+
+
+def trained_summary_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """What of a training does not depend on the optimizer: sizes, classes, vocabulary."""
+    model, result = _training(spark, sf)
+    _, newer, _, _ = time_split(documents(spark, sf))
+    tested = prepare(newer).agg(F.count(F.lit(1)).alias("n_test"), F.sum("y_risk").alias("n_test_risk"))
+    counted = sum(result.metrics[c] for c in ("tn", "fp", "fn", "tp"))
+    return tested.select(
+        F.lit(model.weights.n_docs).cast("long").alias("n_train"),
+        "n_test",
+        "n_test_risk",
+        F.lit(model.n_terms).cast("long").alias("n_terms"),
+        (F.lit(counted) == F.col("n_test")).alias("outcomes_add_up"),
+        (F.lit(result.metrics["fn"] + result.metrics["tp"]) == F.col("n_test_risk")).alias("risks_add_up"),
+    )
+
+
 def trained_assessment_documents(spark: SparkSession, sf: str) -> DataFrame:
     assessed = assess(documents(spark, sf), _model(spark, sf))
     return assessed.select(
@@ -404,6 +459,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         rule_analysis_documents,
         rule_analysis_notes,
+        rule_analysis_customers,
         findings_documents,
         findings_notes,
         redaction_notes,
@@ -438,14 +494,17 @@ QUERIES: dict[str, Query] = {
         combined_scores_documents,
         audit_rows_documents,
         audit_csv_documents,
+        audit_csv_notes,
         audit_summary_documents,
         fixed_model_documents,
         fixed_model_joined_documents,
         records_roundtrip_orders,
         csv_records_conversations,
+        csv_rejects_orders,
         jsonl_roundtrip_documents,
         sample_export_documents,
         head_rows_orders,
+        trained_summary_documents,
         trained_assessment_documents,
         trained_audit_documents,
         trained_metrics_documents,

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textrisk.functions.jsontext import sole_object
 from textrisk.functions.text import blank_to_null, strip
 
 _UNKNOWN_AUTHOR = "unknown"
-_ACCOUNT = "array<struct<id:string,acct:string,username:string>>"
-STRICT_JSON = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
+_ACCOUNT = "struct<id:string,acct:string,username:string>"
 
 
 def author_hash(author: Column) -> Column:
@@ -23,12 +23,9 @@ def account_identifier(
     """First non-empty of id, acct and username of the account.
 
     ``account`` is JSON text of the account object; the flat columns are the
-    fallback for tables that spread the account over columns.  Putting the text
-    in brackets makes the parser reject anything after the object.
+    fallback for tables that spread the account over columns.
     """
-    as_text = strip(account)
-    parsed = F.get(F.from_json(F.concat(F.lit("["), as_text, F.lit("]")), _ACCOUNT, STRICT_JSON), F.lit(0))
-    inside = F.when(as_text.startswith("{"), parsed)
+    inside = sole_object(strip(account), _ACCOUNT)
     return F.coalesce(
         blank_to_null(inside["id"]),
         blank_to_null(inside["acct"]),

@@ -24,12 +24,17 @@ _EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 _SEP = f"[-.{SPACE}]?"
 
 
+#: For ``Rule.needs``: a decimal digit of any script.
+DIGIT = "\\d"
+
+
 @dataclass(frozen=True)
 class Rule:
     """One kind of personal data.
 
-    ``needs`` is a text that every match contains (checked first because a
-    substring search is much cheaper than a regex); None means "a digit".
+    ``needs`` is what every match contains: a text, or DIGIT.  It is looked for
+    first, because that is much cheaper than the regex.  None means nothing is
+    known, and the regex runs on every text.
     """
 
     name: str
@@ -51,18 +56,20 @@ RULES: tuple[Rule, ...] = (
         "PHONE",
         rf"{_EDGE}(?:\+1{_SEP})?(?:\(?{_D}{{3}}\)?{_SEP}){_D}{{3}}{_SEP}{_D}{{4}}{_END}",
         25,
+        needs=DIGIT,
     ),
     Rule("URL", rf"{_START}https?://[^{SPACE}]+{_EDGE}", 5, needs="http"),
-    Rule("IPV4", rf"{_START}(?:{_D}{{1,3}}\.){{3}}{_D}{{1,3}}{_END}", 10),
-    Rule("SSN", rf"{_START}{_D}{{3}}-{_D}{{2}}-{_D}{{4}}{_END}", 60),
-    Rule("CREDIT_CARD", rf"{_START}(?:{_D}{{4}}[- ]?){{3}}{_D}{{4}}{_END}", 60),
-    Rule("DOB", rf"{_START}{_D}{{1,2}}[/-]{_D}{{1,2}}[/-]{_D}{{2,4}}{_END}", 15),
+    Rule("IPV4", rf"{_START}(?:{_D}{{1,3}}\.){{3}}{_D}{{1,3}}{_END}", 10, needs=DIGIT),
+    Rule("SSN", rf"{_START}{_D}{{3}}-{_D}{{2}}-{_D}{{4}}{_END}", 60, needs=DIGIT),
+    Rule("CREDIT_CARD", rf"{_START}(?:{_D}{{4}}[- ]?){{3}}{_D}{{4}}{_END}", 60, needs=DIGIT),
+    Rule("DOB", rf"{_START}{_D}{{1,2}}[/-]{_D}{{1,2}}[/-]{_D}{{2,4}}{_END}", 15, needs=DIGIT),
     Rule(
         "ADDRESS_HINT",
         rf"{_START}{_D}{{1,5}}+{_S}++{_W}++(?:{_S}++{_W}++){{0,3}}{_S}++"
         r"(?iu:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr)"
         rf"{_END}",
         15,
+        needs=DIGIT,
     ),
 )
 

@@ -17,6 +17,8 @@ MIN_DF = 5
 MIN_DF_FROM = 20  # documents; below that every term counts
 
 BROADCAST_TERMS = 1 << 17
+# Terms have no longest length, so their bytes are counted too.
+BROADCAST_BYTES = 16 << 20
 _HOT_SHARE = 10_000
 
 
@@ -66,10 +68,12 @@ def attach_terms(postings: DataFrame, terms: DataFrame, *, broadcast_terms: int
     that hold more than 1/10,000 of all postings, of which there can be no more
     than 10,000, are broadcast; the rest are rare enough for an even shuffle.
     """
-    size, total = terms.agg(F.count(F.lit(1)), F.sum("df")).first()
-    if size <= broadcast_terms:
+    length = F.octet_length("term")
+    size, n_bytes, total = terms.agg(F.count(F.lit(1)), F.sum(length), F.sum("df")).first()
+    if size <= broadcast_terms and (n_bytes or 0) <= BROADCAST_BYTES:
         return postings.join(F.broadcast(terms), "term")
-    is_hot = F.col("df") * _HOT_SHARE > total
+    # Long terms are left to the shuffle, so the hot ones are bounded in bytes.
+    is_hot = (F.col("df") * _HOT_SHARE > total) & (length * _HOT_SHARE <= BROADCAST_BYTES)
     hot = F.broadcast(terms.filter(is_hot))
     rare = terms.filter(~is_hot)
     frequent = postings.join(hot, "term")

@@ -10,9 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from textrisk.functions.identity import STRICT_JSON
+from textrisk.functions.jsontext import sole_object
 from textrisk.functions.patterns import SPACE
 from textrisk.functions.text import strip
 from textrisk.operators.prefix import ROW_ORDER, first_rows, with_position
@@ -30,7 +29,7 @@ def format_of(path: str) -> str:
     for suffix, name in _FORMATS.items():
         if path.lower().endswith(suffix):
             return name
-    raise ValueError("Unsupported input format. Use .jsonl or .csv")
+    raise ValueError("Input must be .jsonl or .csv")
 
 
 def _quoted(name: str) -> Column:
@@ -40,34 +39,47 @@ def _quoted(name: str) -> Column:
 def parse_json_lines(lines: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Table of raw records from a table with a text column ``value``.
 
-    Blank lines vanish.  The line is parsed inside brackets: the parser then
-    refuses text after the object and a second object on the same line, which
-    it would ignore otherwise.  Other columns of ``lines`` are kept.
+    Blank lines vanish.  A line must be one JSON object and nothing else.  Other
+    columns of ``lines`` are kept.
     """
-    record = StructType([StructField(name, StringType()) for name in fields])
+    record = ",".join(f"`{name}`:string" for name in fields)
     others = [c for c in lines.columns if c != "value"]
-    line = strip(F.col("value"))
-    parsed = lines.filter(_HAS_TEXT).select(
-        *others,
-        F.from_json(F.concat(F.lit("["), line, F.lit("]")), ArrayType(record), STRICT_JSON).alias("objects"),
-    )
-    only = F.get(F.col("objects"), F.lit(0))
-    one_object = F.col("objects").isNotNull() & (F.size("objects") == 1) & only.isNotNull()
+    parsed = lines.filter(_HAS_TEXT).select(*others, sole_object(strip(F.col("value")), f"struct<{record}>").alias("object"))
     return parsed.select(
         *others,
-        (~one_object).alias("malformed"),
-        *[F.when(one_object, only.getField(name)).alias(name) for name in fields],
+        F.col("object").isNull().alias("malformed"),
+        *[F.col("object").getField(name).alias(name) for name in fields],
+    )
+
+
+def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, str]:
+    """All columns as text, and the name of a column that holds rows with more or
+    fewer cells than the header (null for good rows)."""
+    reader = (
+        spark.read.option("header", True)
+        .option("inferSchema", False)
+        .option("multiLine", multi_line)
+        .option("quote", '"')
+        .option("escape", '"')
     )
+    names = reader.csv(path).columns
+    broken = "_broken"
+    while broken in names:
+        broken += "_"
+    columns = ", ".join(f"`{name.replace('`', '``')}` string" for name in [*names, broken])
+    # Without pruning, so that a row's cells are counted whichever columns are asked for.
+    whole = reader.option("columnNameOfCorruptRecord", broken).option("columnPruning", False)
+    return whole.schema(columns).csv(path), broken
 
 
-def _align_csv(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+def _align_csv(rows: DataFrame, broken: str, fields: Sequence[str]) -> DataFrame:
     """The known fields of a CSV table; blank cells are empty strings, absent
-    columns are null."""
-    present = set(rows.columns)
+    columns are null.  Rows with more or fewer cells than the header are malformed."""
+    present = set(rows.columns) - {broken}
     others = [c for c in ROW_ORDER if c in present]
     return rows.select(
         *others,
-        F.lit(False).alias("malformed"),
+        _quoted(broken).isNotNull().alias("malformed"),
         *[
             (F.coalesce(_quoted(name), F.lit("")) if name in present else F.lit(None).cast("string")).alias(name)
             for name in fields
@@ -99,17 +111,10 @@ def read_raw(
             lines = with_position(lines.filter(_HAS_TEXT))
         rows = parse_json_lines(lines, fields)
     elif kind == "csv":
-        rows = (
-            spark.read.option("header", True)
-            .option("inferSchema", False)
-            .option("multiLine", multi_line)
-            .option("quote", '"')
-            .option("escape", '"')
-            .csv(path)
-        )
-        rows = _align_csv(with_position(rows) if max_rows is not None else rows, fields)
+        rows, broken = _read_csv(spark, path, multi_line)
+        rows = _align_csv(with_position(rows) if max_rows is not None else rows, broken, fields)
     else:
-        raise ValueError("Unsupported input format. Use .jsonl or .csv")
+        raise ValueError("Input must be .jsonl or .csv")
     if max_rows is None:
         return rows
     return first_rows(rows, max_rows)

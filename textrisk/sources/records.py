@@ -43,5 +43,5 @@ def export_jsonl(df: DataFrame, path: str) -> None:
 
 
 def export_sample_jsonl(df: DataFrame, path: str, n: int = 10_000) -> None:
-    """The first ``n`` rows as JSON lines (whichever rows Spark meets first)."""
-    export_jsonl(df.limit(n), path)
+    """The first ``n`` rows of a file scan, in the order of the files, as JSON lines."""
+    export_jsonl(first_rows(with_position(df), n), path)
