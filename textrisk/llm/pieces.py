@@ -29,8 +29,8 @@ from textrisk.storage import store
 
 #: Public vocabulary that the registered queries use; a parameter everywhere.
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 16_384
-REMEMBERED = 200_000
+CHUNK = 65_536
+REMEMBERED = 300_000
 _MARK = "▁"
 _LOWEST = -np.inf
 
@@ -76,9 +76,16 @@ class Vocabulary:
         return re.compile(f" *[^ {loose}]+| +|[{loose}]") if loose else re.compile(r" *[^ ]+| +")
 
     @cached_property
-    def heads(self) -> frozenset[str]:
-        """Beginnings of pieces."""
-        return frozenset(p[:i] for p in self.scores for i in range(1, len(p) + 1))
+    def tree(self) -> dict[str, tuple]:
+        """Pieces by their characters: (what may follow, score or None)."""
+        root: dict[str, tuple] = {}
+        for piece in sorted(self.scores):
+            level = root
+            for c in piece[:-1]:
+                level = level.setdefault(c, ({}, None))[0]
+            below = level.get(piece[-1], ({}, None))[0]
+            level[piece[-1]] = (below, self.scores[piece])
+        return root
 
     @cached_property
     def surface(self) -> list[bytes]:
@@ -95,34 +102,39 @@ class Vocabulary:
         n = len(text)
         best, back = [_LOWEST] * (n + 1), [-1] * (n + 1)
         best[start] = 0.0
-        scores, heads, low = self.scores, self.heads, self.fallback
+        root, low = self.tree, self.fallback
         for i in range(start, n):
             base = best[i]
             if base == _LOWEST:
                 continue
-            single = scores.get(text[i])
-            value = base + (low if single is None else single)
-            if value > best[i + 1]:
-                best[i + 1], back[i + 1] = value, i
-            for j in range(i + 2, n + 1):
-                piece = text[i:j]
-                if piece not in heads:
-                    break
-                score = scores.get(piece)
+            node = root.get(text[i])
+            if (node is None or node[1] is None) and base + low > best[i + 1]:
+                best[i + 1], back[i + 1] = base + low, i
+            j = i + 1
+            while node is not None:
+                below, score = node
                 if score is not None and base + score > best[j]:
                     best[j], back[j] = base + score, i
+                if j == n:
+                    break
+                node = below.get(text[j])
+                j += 1
         return best, back
 
     def tokens(self, text: str, start: int, end: int, back: list[int]) -> list[int]:
         """Ids along the way back from ``end`` to ``start``."""
         found: list[int] = []
+        ids = self.ids
         while end > start:
             begin = back[end]
-            piece = text[begin:end]
-            known = self.ids.get(piece)
-            found += [known] if known is not None else [self.bytes_[b] for b in reversed(piece.encode())]
+            known = ids.get(text[begin:end])
+            if known is None:
+                found.extend(self.bytes_[b] for b in reversed(text[begin:end].encode()))
+            else:
+                found.append(known)
             end = begin
-        return found[::-1]
+        found.reverse()
+        return found
 
     def segment(self, text: str) -> list[int]:
         """Ids of a text without chunks or memory, for short texts."""
@@ -218,11 +230,11 @@ class _Segments(dict):
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
 
-    def __missing__(self, unit: str) -> tuple[list[int], float]:
+    def __missing__(self, unit: str) -> tuple[tuple[int, ...], float]:
         if len(self) >= REMEMBERED:
             self.clear()
         best, back = self.v.paths(unit)
-        value = self.v.tokens(unit, 0, len(unit), back), best[-1]
+        value = tuple(self.v.tokens(unit, 0, len(unit), back)), best[-1]
         if len(unit) <= 64:
             self[unit] = value
         return value
@@ -274,16 +286,16 @@ def encode(
         known = _Segments(vocabulary)
         units = vocabulary.unit.findall
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 250):
+                part = batch.slice(start, 250)
                 flat: list[int] = []
                 ends, decoded = [0], []
-                for value in part.column(1):
-                    value = value.as_py()
+                texts = part.column(1).to_pylist()
+                cut = [units(" " + value) if value is not None else [] for value in texts]
+                for value, own in zip(texts, cut, strict=True):
                     found: list[int] = []
-                    if value is not None:
-                        for u in units(" " + value):
-                            found += known[u][0]
+                    for u in own:
+                        found += known[u][0]
                     flat += found
                     ends.append(len(flat))
                     decoded.append(None if value is None else vocabulary.decode(found))
@@ -313,10 +325,9 @@ def encode(
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Segments(vocabulary)
         for batch in batches:
-            found = [
-                Chunk(p.as_py(), a.as_py(), vocabulary).matrix(known).ravel()
-                for p, a in zip(batch.column(2), batch.column(3), strict=True)
-            ]
+            found = []
+            for part, ahead in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                found.append(Chunk(part, ahead, vocabulary).matrix(known).ravel())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.list_(pa.float64()))], names=["key", "k", "part", "ahead", "matrix"]
             )
@@ -329,10 +340,9 @@ def encode(
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Segments(vocabulary)
         for batch in batches:
-            found = [
-                Chunk(p.as_py(), a.as_py(), vocabulary).ids(i.as_py(), o.as_py(), known)
-                for p, a, i, o in zip(*(batch.column(c) for c in range(2, 6)), strict=True)
-            ]
+            found = []
+            for part, ahead, inward, outward in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
+                found.append(Chunk(part, ahead, vocabulary).ids(inward, outward, known))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["key", "k", "ids"]
             )
