@@ -67,15 +67,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> Stored
         # Large star: neighbours above a node move to the smallest id around it.
         both = current.table.union(current.table.select("v", "u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large_stored = store(large.where("u <> v").distinct(), "edges")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: neighbours below a node, and itself, move to the smallest of them.
-        low = large_stored.table.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large_stored.table.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).union(low.select("u", F.col("m").alias("v")))
-        following = store(small.where("u <> v").distinct(), "edges")
-        large_stored.drop()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        following = store(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         current.drop()
         current = following
         seen = current.table.agg(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrisk.llm.common import sized
-from textrisk.llm.words import mixed
+from textrisk.llm.words import FACTORS, mixed
 from textrisk.storage import store
 
 WINDOW = 8
@@ -39,9 +39,12 @@ UNITS = frozenset(
     "minutes h hr hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent "
     "kmh mph kb mb gb w kw v hz".split()
 )
-_EDGES = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
+_MARKS = "!\"#&'()*,./:;<=>?@[\\]^_`{|}~«»“”‘’„…—–"
 _NUM, _UNIT, _CAP, _END = 1, 2, 4, 8
 _PLACE = {"n": np.uint64(11 << 4), "u": np.uint64(13 << 4), "p": np.uint64(17 << 4)}
+def _bare(word: str) -> str:
+    """A word without the marks around it; signs of a number stay."""
+    return word.lstrip(_MARKS + "%").rstrip(_MARKS + "$€£+-")
 
 
 class _Words(dict):
@@ -50,14 +53,18 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        bare = _EDGES.sub("", word)
+        bare = _bare(word)
         lower = bare.lower()
         code = 0
         if bare:
             raw = lower.encode()
             code = (zlib.crc32(raw) << 28 ^ zlib.crc32(raw[::-1] + b"~")) << 4 & 0xFFFFFFFFFFFFFFF0 or 16
-            code |= _NUM * bool(_NUMBER.fullmatch(bare)) | _UNIT * (lower in UNITS)
-            code |= _CAP * (len(bare) > 1 and bare[0].isupper() and bare[1:].islower())
+            if bare[0] in "$€£+-" or bare[0].isdigit():
+                code |= _NUM * bool(_NUMBER.fullmatch(bare))
+            elif lower in UNITS:
+                code |= _UNIT
+            if bare[0].isupper() and bare[1:].islower():
+                code |= _CAP
         self[word] = code = code | _END * (word[-1:] in ".!?" or word[-2:-1] in (".", "!", "?"))
         return code
 
@@ -80,9 +87,9 @@ class Template:
         name = ((codes & np.uint64(_CAP)) > 0) & ~first & ~number & ~unit
         self.hashes = codes & np.uint64(0xFFFFFFFFFFFFFFF0)
         self.slots = number | unit | name
-        for mark, where in (("n", number), ("u", unit), ("p", name)):
+        self.kinds = {"n": number, "u": unit, "p": name}
+        for mark, where in self.kinds.items():
             self.hashes[where] = _PLACE[mark]
-        self.kinds = np.select([number, unit, name], ["n", "u", "p"], "")
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of the runs of ``size`` template words that hold enough literal ones."""
@@ -91,7 +98,8 @@ class Template:
             return np.zeros(0, int), np.zeros(0, np.uint64)
         total = np.full(n, size, np.uint64)
         for i in range(size):
-            total = mixed(total + self.hashes[i : i + n])
+            total += self.hashes[i : i + n] * FACTORS[i]
+        total = mixed(total)
         literal = np.concatenate([[0], np.cumsum(~self.slots)])
         kept = np.flatnonzero(literal[size:] - literal[:n] >= min(size, LITERALS))
         return kept, total[kept]
@@ -99,7 +107,7 @@ class Template:
     def values(self, start: int, size: int) -> list[str]:
         """Slots of a window: kind and bare lower-case value."""
         at = start + np.flatnonzero(self.slots[start : start + size])
-        return [f"{self.kinds[i]}:{_EDGES.sub('', self.words[self.at[i]]).lower()}" for i in at]
+        return [f"{next(k for k, w in self.kinds.items() if w[i])}:{_bare(self.words[self.at[i]]).lower()}" for i in at]
 
 
 _SCHEMA = "size int, pos int, hash bigint, slots array<string>"

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,18 +29,20 @@ IDF = (math.log(5), math.log(1000))
 #: Shares of the lexicon that the subsets keep; each share is drawn several times.
 SHARES = (1 / 2, 1 / 8, 1 / 32, 1 / 128, 1 / 512, 1 / 2048)
 DRAWS = 16
+PARTS = len(SHARES) * DRAWS
 #: Parts that a comparison rests on, at least, from the smallest shares up.
 TOLD = 12
-_TERM = re.compile(r"\w+")
-_EMPTY = "-"
+# ASCII characters that are not letters, digits or the low line part terms.
+_PARTED = bytes(b if b > 127 or chr(b).isalnum() or b == ord("_") else 32 for b in range(256))
 
 
-def term_number(term: str) -> int:
-    return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little", signed=True)
+def term_number(term: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(term, digest_size=8).digest(), "little", signed=True)
 
 
-def terms(text: str | None) -> set[str]:
-    return set(_TERM.findall(text.lower())) if text else set()
+def terms(text: str | None) -> set[bytes]:
+    """Distinct terms of a text in lower case, as UTF-8."""
+    return set(text.lower().encode().translate(_PARTED).split()) if text else set()
 
 
 @dataclass(frozen=True)
@@ -92,7 +93,7 @@ def _exact_counts(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {int(t): i for i, t in enumerate(wanted)}
         totals = np.zeros(len(wanted), np.int64)
-        known: dict[str, int] = {}
+        known: dict[bytes, int] = {}
         for batch in batches:
             for text in batch.column(0):
                 for t in terms(text.as_py()):
@@ -136,69 +137,70 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = IDF
 
 
 class Fingerprints:
-    """Fingerprints by one lexicon; remembers the numbers of terms that are in it."""
+    """Fingerprints by one lexicon; remembers which terms are in it."""
 
     def __init__(self, lexicon: Lexicon):
         inside = lexicon.numbers.view(np.uint64)
         self.row = {int(n): i for i, n in enumerate(lexicon.numbers)}
-        draws = []
-        for s, share in enumerate(SHARES):
-            for d in range(DRAWS):
-                salt = np.uint64(((s * DRAWS + d + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
-                draws.append(mixed(inside + salt) < np.uint64(int(share * (1 << 63)) * 2))
-        self.kept = np.stack(draws, axis=1) if len(inside) else np.zeros((0, len(SHARES) * DRAWS), bool)
-        self.weights = np.stack([mixed(inside), mixed(inside ^ np.uint64(0xABCDEF))], axis=1) if len(inside) else np.zeros((0, 2), np.uint64)
-        self.known: dict[str, int] = {}
-
-    def _place(self, term: str) -> int:
+        self.kept = np.zeros((len(inside), PARTS), np.uint64)
+        for k in range(PARTS):
+            salt = np.uint64((k + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
+            self.kept[:, k] = mixed(inside + salt) < np.uint64(int(SHARES[k // DRAWS] * (1 << 63)) * 2)
+        self.weights = mixed(inside)
+        self.known: dict[bytes, int] = {}
+
+    def _place(self, term: bytes) -> int:
         if len(self.known) > 300_000:
             self.known.clear()
         place = self.known[term] = self.row.get(term_number(term), -1)
         return place
 
-    def of(self, text: str | None) -> list[str]:
-        """Parts of the fingerprint; ``-`` where a subset holds no term, and if all do, a hash of the text at the end."""
+    def of(self, text: str | None) -> np.ndarray:
+        """Parts of the fingerprint, 0 where a subset holds no term of the text.
+
+        The terms of a part are in the order of the lexicon; their mixed numbers
+        are summed, which gives the same for the same terms only.
+        """
         known = self.known
-        places = [p for p in ((known[t] if t in known else self._place(t)) for t in terms(text)) if p >= 0]
-        rows = np.array(sorted(places), dtype=np.int64)
-        parts = []
+        rows = np.array(sorted(p for p in ((known[t] if t in known else self._place(t)) for t in terms(text)) if p >= 0), np.int64)
         kept = self.kept[rows]
-        for k in range(len(SHARES) * DRAWS):
-            chosen = rows[kept[:, k]]
-            parts.append(hashlib.blake2b(self.weights[chosen].tobytes(), digest_size=3).hexdigest() if len(chosen) else _EMPTY)
-        if not any(p != _EMPTY for p in parts):
-            parts.append(hashlib.sha256((text or "").encode()).hexdigest())
+        sums = mixed((kept * self.weights[rows, None]).sum(axis=0))
+        parts = (sums >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+        parts[~kept.any(axis=0)] = 0
         return parts
 
+    @staticmethod
+    def packed(parts: np.ndarray, text: str | None) -> bytes:
+        """Two bytes for each part; if all are empty the hash of the text follows."""
+        raw = parts.astype(">u2").tobytes()
+        return raw if parts.any() else raw + hashlib.sha256((text or "").encode()).digest()
+
 
-def likeness(a: list[str], b: list[str]) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, same_text: bool = False) -> float:
     """Share of equal parts among those that hold a term in one of the two texts.
 
     The smallest subsets are looked at first, and larger ones only until TOLD
     parts hold a term: the fewer terms a part holds, the closer the share comes to
-    the terms that the texts have in common.
+    the terms that the texts have in common.  Without any part that holds a term
+    only equal texts are alike.
     """
-    if a == b:
+    if same_text:
         return 1.0
-    told = equal = 0
-    for level in reversed(range(len(SHARES))):
-        for k in range(level * DRAWS, (level + 1) * DRAWS):
-            if a[k] != _EMPTY or b[k] != _EMPTY:
-                told += 1
-                equal += a[k] == b[k]
-        if told >= TOLD:
-            break
-    return equal / told if told else 0.0
+    there = (a | b) != 0
+    told = np.cumsum(there.reshape(len(SHARES), DRAWS).sum(axis=1)[::-1])
+    equal = np.cumsum((there & (a == b)).reshape(len(SHARES), DRAWS).sum(axis=1)[::-1])
+    level = min(int(np.searchsorted(told, TOLD)), len(SHARES) - 1)
+    return float(equal[level] / told[level]) if told[level] else 0.0
 
 
 def fingerprint(docs: DataFrame, found: Lexicon, text: str = "text", into: str = "fingerprint") -> DataFrame:
-    """``docs`` with the fingerprint of each text, parts joined by dots; null counts as empty.  Row-local."""
+    """``docs`` with the fingerprint of each text as hexadecimal text; null counts as empty.  Row-local."""
     import pandas as pd
 
     def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         prints = Fingerprints(found)
         for values in batches:
-            yield pd.Series([".".join(prints.of(v)) for v in values], dtype=object)
+            yield pd.Series([prints.packed(prints.of(v), v).hex() for v in values], dtype=object)
 
     one.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn(into, F.pandas_udf(one, "string")(F.col(text)))
@@ -210,7 +212,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-_COLUMNS = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_COLUMNS = "n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def edit_report(docs: DataFrame, found: Lexicon, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,14 +235,14 @@ def edit_report(docs: DataFrame, found: Lexicon, id_column: str = "doc_id", text
         changed = edited(value, other)
         new = prints.of(changed)
         return (
-            key, len(value), hashlib.sha256(changed.encode()).hexdigest(), ".".join(own), ".".join(new),
-            likeness(own, new), likeness(own, others),
+            key, len(value), hashlib.sha256(changed.encode()).digest(), prints.packed(own, value), prints.packed(new, changed),
+            likeness(own, new, value == changed), likeness(own, others, value == other),
         )
 
     def batch_of(results: list[tuple], edges: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
         n, m = len(results), len(edges)
         columns = list(zip(*results, strict=True)) if results else [()] * 7
-        types = [id_type, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+        types = [id_type, pa.int64(), *[pa.binary()] * 3, pa.float64(), pa.float64()]
         arrays = [pa.array([*c, *([None] * m)], t) for c, t in zip(columns[1:], types[1:], strict=True)]
         keys = pa.array([*columns[0], *[e[0] for e in edges]], id_type)
         edge = [pa.array([*[None] * n, *[e[k] for e in edges]], t) for k, t in ((1, pa.string()), (2, pa.int32()), (3, pa.int32()))]
@@ -290,4 +292,5 @@ def edit_report(docs: DataFrame, found: Lexicon, id_column: str = "doc_id", text
     paired = lasts.join(following, "part").join(firsts.withColumnRenamed("part", "next_part"), "next_part")
     rest = paired.select("id", "edge_text", "next_text").mapInArrow(pair, f"id {kind}, {_COLUMNS}")
     whole = walked.where("part IS NULL").drop("edge_text", "part", "place").unionByName(rest)
-    return whole.withColumnRenamed("id", id_column)
+    text_of = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return whole.withColumns(text_of).withColumnRenamed("id", id_column)

@@ -71,14 +71,14 @@ def notices(files: DataFrame, templates=TEMPLATES, cosine: float = COSINE) -> Da
     )
     distinct = lines.table.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
     known = spark.createDataFrame([(i, name, line) for i, (name, line) in enumerate(templates)], "template int, license string, line string")
-    of_lines = store(_counted(distinct, "line", "n"), "terms").table
+    of_lines = _counted(distinct, "line", "n")
     of_templates = _counted(known, "template", "license")
     frequency = of_lines.select("term", "n").unionByName(of_templates.select("term", F.lit(1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
     total = lines.table.count() + len(templates)
     idf = frequency.select("term", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     weigh = lambda counted: counted.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     line_terms = store(weigh(of_lines).select("line", "term", "w"), "weights").table
-    template_terms = store(weigh(of_templates).select("template", "license", "term", "w"), "template-weights").table
+    template_terms = weigh(of_templates).select("template", "license", "term", "w")
     lengths = line_terms.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     template_norms = template_terms.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     small = sized(template_terms.withColumnRenamed("w", "t_w"), sum(200 * len(line) for _, line in templates))
@@ -116,12 +116,11 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEM
     named = files.where(F.col(path).isNotNull()).select(F.col(path).cast("string").alias("file"), F.col(text).alias("text"))
     found = store(notices(named, templates, cosine), "licences").table
     best = F.min(F.struct(F.negative("cosine").alias("minus"), "license")).alias("b")
-    own = store(
-        found.groupBy("file").agg(best, F.sum("length").alias("in_notices")).select("file", "b.license", F.negative("b.minus").alias("cosine"), "in_notices"),
-        "own",
-    ).table
+    own = found.groupBy("file").agg(best, F.sum("length").alias("in_notices")).select(
+        "file", "b.license", F.negative("b.minus").alias("cosine"), "in_notices"
+    )
     sizes = named.select("file", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), _parent(F.col("file")).alias("directory"))
-    every = store(sizes.groupBy("file", "directory").agg(F.sum("n_chars").alias("n_chars")), "files").table
+    every = sizes.groupBy("file", "directory").agg(F.sum("n_chars").alias("n_chars"))
     judged = every.join(own, "file", "left")
     base = F.element_at(F.split("file", "/"), -1)
     is_licence = F.col("license").isNotNull() & (base.rlike(_LICENCE_NAME) | (F.col("in_notices") >= F.col("n_chars") * NOTICE_SHARE))

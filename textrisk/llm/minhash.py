@@ -8,21 +8,21 @@ runs it is the plain Jaccard similarity.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrisk.llm.common import connected_components, sized, text_key
-from textrisk.llm.words import mixed, ragged, windows, word_numbers
+from textrisk.llm.words import mixed, ragged, some_words, windows, word_numbers
 from textrisk.storage import store
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS = 24
-ROWS = 5
+BANDS = 40
+ROWS = 8
 _STEP, _BITS = 0xD1342543DE82EF95, (1 << 64) - 1
 
 
@@ -36,8 +36,10 @@ def weighted(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h[starts], o[starts], np.diff(np.append(starts, len(h)))
 
 
-def _uniform(x: np.ndarray) -> np.ndarray:
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+def _distinct(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``weighted`` in no order, with one sort."""
+    _, at, counts = np.unique(mixed(hashes + owner.astype(np.uint64) * np.uint64(_STEP)), return_index=True, return_counts=True)
+    return hashes[at], owner[at], counts
 
 
 def signatures(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -51,21 +53,21 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray, n: int
     """
     time = np.full(n * size, np.inf)
     label = np.zeros(n * size, np.uint64)
-    alive = np.arange(len(hashes))
+    element, base, rate = hashes, owner * size, counts.astype(float)
     now = np.zeros(len(hashes))
     step = 0
-    while len(alive):
+    while len(element):
         step += 1
-        element = hashes[alive]
         draw = mixed(element + np.uint64((2 * step + 1) * _STEP & _BITS))
-        now = now - np.log(_uniform(draw)) / counts[alive]
-        place = owner[alive] * size + (mixed(draw) % np.uint64(size)).astype(np.int64)
+        now = now - np.log(((draw >> np.uint64(24)).astype(float) + 0.5) * 2.0**-40) / rate
+        place = base + ((draw & np.uint64(0xFFFFFF)) * np.uint64(size) >> np.uint64(24)).astype(np.int64)
         np.minimum.at(time, place, now)
         won = time[place] == now
         label[place[won]] = element[won]
-        latest = time.reshape(n, size).max(axis=1)
-        going = now < latest[owner[alive]]
-        alive, now = alive[going], now[going]
+        texts, where = np.unique(base, return_inverse=True) if step == 1 or step % 8 == 0 else (texts, where)  # noqa: F821
+        latest = time.reshape(n, size)[texts // size].max(axis=1)
+        going = now < latest[where]
+        element, base, rate, now, where = element[going], base[going], rate[going], now[going], where[going]
     return label.reshape(n, size)
 
 
@@ -94,11 +96,10 @@ def banded(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in some_words(batch, 2):
                 values, lengths = ragged(part.column(2))
                 hashes, owner, _ = windows(values, lengths, SHINGLE)
-                h, o, counts = weighted(hashes, owner)
+                h, o, counts = _distinct(hashes, owner)
                 signature = signatures(h, o, counts, part.num_rows, size).reshape(-1, BANDS, ROWS)
                 band = np.zeros(signature.shape[:2], np.uint64)
                 for r in range(ROWS):
@@ -143,8 +144,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                yield from compare(iter([batch.slice(start, 256)]))
+            yield from compare(some_words(batch, 2))
 
     words = both.select("a", "b", word_numbers(F.col("text_a")).alias("x"), word_numbers(F.col("text_b")).alias("y"))
     return words.mapInArrow(cut, f"a {kind}, b {kind}, likeness double")
@@ -164,62 +164,71 @@ def near_duplicates(
 
     Equal texts are folded into their smallest id first, so a large group of
     copies costs one row.  In each bucket of a band the texts are compared with
-    one centre, the member with most company over all bands.  Members that do
-    not reach the threshold stay in the bucket for another round with the centre
-    among them, until no two unlinked members remain: a bucket of n texts makes
-    n - 1 comparisons per round, never all pairs.  Every link is verified on the
-    whole texts.
+    a centre, the member with most company over all bands.  Members that are not
+    linked to it stay for another round with about four times as many centres, until no
+    two of them remain in a bucket: alike texts take one comparison each, and only
+    texts that are alike to no centre meet more of them.  Every link is verified on
+    the whole texts.
     """
     signed = store(banded(docs, id_column, text), "bands")
-    folded = store(
-        signed.table.groupBy("key").agg(F.min(F.struct("doc", "bands")).alias("s")).select("key", "s.doc", "s.bands"),
-        "texts",
-    )
-    members = store(
-        signed.table.select("key", F.col("doc").alias("id")).distinct().join(folded.table.select("key", "doc"), "key").select("id", "doc"),
-        "members",
-    )
-    signed.drop()
-    bucketed = folded.table.select("doc", F.posexplode("bands").alias("band", "hash"))
-    sizes = bucketed.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = store(bucketed.join(sizes, ["band", "hash"]).select("doc", "band", "hash", "n"), "buckets")
-    company = store(shared.table.groupBy("doc").agg(F.sum("n").alias("company")), "company")
-    wanted = docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text"), text_key(text).alias("key"))
-    keyed = company.table.join(folded.table.select("doc", "key"), "doc").select("doc", "key")
-    texts = store(
-        wanted.join(keyed, ["doc", "key"]).groupBy("doc").agg(F.min("text").alias("text")), "shared-texts"
-    )
-    folded.drop()
-    left = store(shared.table.join(company.table, "doc").select("doc", "band", "hash", "company"), "open")
-    shared.drop()
-    company.drop()
-    compared: list[DataFrame] = []
+    # The narrow tables of the search are kept on the executors' disks; what a lost
+    # executor held is worked out again from the stored signatures.
+    held: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        held.append(table.persist(StorageLevel.DISK_ONLY))
+        return held[-1]
+
+    heads = signed.table.groupBy("key").agg(F.min("doc").alias("doc"))
+    bands = signed.table.join(heads, ["key", "doc"]).dropDuplicates(["key"]).select("doc", F.posexplode("bands").alias("band", "hash"))
+    bands = keep(bands)
+    sizes = bands.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = bands.join(sizes, ["band", "hash"]).select("doc", "band", "hash", "n")
+    company = shared.groupBy("doc").agg(F.sum("n").alias("company"))
+    left = keep(shared.join(company, "doc").select("doc", "band", "hash", "company"))
+    wanted = left.select("doc").distinct().join(heads, "doc")
+    owned = docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text"), text_key(text).alias("key"))
+    texts = keep(owned.join(wanted, ["doc", "key"]).groupBy("doc").agg(F.min("text").alias("text")))
+
+    known: DataFrame | None = None
+    n_centres = 1
     while True:
-        order = F.struct("company", F.xxhash64("doc", "band").alias("tie"), "doc")
-        buckets = left.table.groupBy("band", "hash").agg(F.max(order).alias("c"), F.count(F.lit(1)).alias("n"))
-        centres = buckets.where("n > 1").select("band", "hash", F.col("c.doc").alias("centre"))
-        judged = left.table.join(centres, ["band", "hash"]).where("doc <> centre")
-        judged = store(
-            judged.select("doc", "band", "hash", "company", F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")),
-            "pairs",
+        # The member with most company, and from the second round on about four times as many others each time.
+        draw = F.pmod(F.xxhash64("doc", "band", F.lit(n_centres)), F.lit(1 << 30)) / F.lit(1 << 30)
+        buckets = left.groupBy("band", "hash").agg(F.max(F.struct("company", "doc")).alias("c"), F.count(F.lit(1)).alias("n"))
+        marked = left.join(buckets.where("n > 1"), ["band", "hash"]).select(
+            "doc", "band", "hash", "company",
+            ((F.col("doc") == F.col("c.doc")) | (draw * F.col("n") < n_centres - 1)).alias("is_centre"),
+        )
+        centres = marked.where("is_centre").select("band", "hash", F.col("doc").alias("centre"), F.col("company").alias("c_company"))
+        ahead = F.struct("c_company", "centre") > F.struct("company", "doc")
+        judged = keep(
+            marked.join(centres, ["band", "hash"])
+            .where(F.when(F.col("is_centre"), ahead).otherwise(F.lit(True)))
+            .select("doc", "band", "hash", "company", "is_centre", F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b"))
         )
-        pairs = judged.table.select("a", "b").distinct()
-        for earlier in compared:
-            pairs = pairs.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
-        compared.append(store(verified(pairs, texts.table), "likeness").table)
-        known = reduce(DataFrame.union, compared)
-        far = known.where(F.col("likeness") < threshold).select("a", "b")
-        following = store(judged.table.join(far, ["a", "b"], "left_semi").select("doc", "band", "hash", "company"), "open")
-        left.drop()
-        judged.drop()
-        left = following
-        if left.table.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        pairs = judged.select("a", "b").distinct()
+        if known is not None:
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        new = keep(verified(pairs, texts))
+        known = new if known is None else known.union(new)
+        near = known.where(F.col("likeness") >= threshold).select("a", "b")
+        # Every member met the centre with most company, so all that remain are in ``judged``.
+        linked = judged.join(near.withColumn("near", F.lit(1)), ["a", "b"], "left")
+        waiting = linked.where("NOT is_centre").groupBy("doc", "band", "hash", "company").agg(F.max("near").alias("near"))
+        left = keep(waiting.where("near IS NULL").drop("near"))
+        n_centres *= 4
+        if left.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
-    near = store(known.where(F.col("likeness") >= threshold).select("a", "b"), "links")
-    classes = connected_components(near.table)
-    degree = near.table.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
+    links = store(known.where(F.col("likeness") >= threshold).select("a", "b"), "links")
+    for table in held:
+        table.unpersist()
+    classes = connected_components(links.table)
+    degree = links.table.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
     assigned = (
-        members.table.join(classes.table.withColumnRenamed("node", "doc"), "doc", "left")
+        signed.table.select("key", F.col("doc").alias("id")).distinct()
+        .join(heads, "key")
+        .join(classes.table.withColumnRenamed("node", "doc"), "doc", "left")
         .join(degree, "doc", "left")
         .groupBy("id")
         .agg(F.min(F.coalesce("component", "doc")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrisk.llm.common import text_key
-from textrisk.llm.words import ragged, windows, word_numbers
+from textrisk.llm.words import ragged, some_words, windows, word_numbers
 from textrisk.storage import store
 
 #: Words of a passage, at least.
@@ -73,20 +74,30 @@ def _contexts(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.n
 
 
 def suffixes(texts: DataFrame) -> DataFrame:
-    """(doc, pos, seed) of the minimisers of (doc, words)."""
+    """(doc, key, n_words, places, seeds) for (doc, key, words): positions and hashes of the minimisers, for texts that have any."""
     kind = texts.schema["doc"].dataType.simpleString()
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                seeds, owner, position = _chosen(*ragged(part.column(1)))
+            for part in some_words(batch, 2):
+                values, lengths = ragged(part.column(2))
+                seeds, owner, position = _chosen(values, lengths)
+                rows, first = np.unique(owner, return_index=True)
+                offsets = pa.array(np.append(first, len(owner)).astype(np.int32))
+                own = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(owner)), pa.array(position.astype(np.int32)), pa.array(seeds.view(np.int64))],
-                    names=["doc", "pos", "seed"],
+                    [
+                        own.column(0),
+                        own.column(1),
+                        pa.array(lengths[rows].astype(np.int32)),
+                        pa.ListArray.from_arrays(offsets, pa.array(position.astype(np.int32))),
+                        pa.ListArray.from_arrays(offsets, pa.array(seeds.view(np.int64))),
+                    ],
+                    names=["doc", "key", "n_words", "places", "seeds"],
                 )
 
-    return texts.select("doc", "words").mapInArrow(pick, f"doc {kind}, pos int, seed bigint")
+    schema = f"doc {kind}, key string, n_words int, places array<int>, seeds array<bigint>"
+    return texts.select("doc", "key", "words").mapInArrow(pick, schema)
 
 
 def _with_contexts(texts: DataFrame) -> DataFrame:
@@ -96,8 +107,7 @@ def _with_contexts(texts: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = MIN_WORDS * 4
         for batch in batches:
-            for first in range(0, batch.num_rows, 128):
-                part = batch.slice(first, 128)
+            for part in some_words(batch, 1):
                 values, lengths = ragged(part.column(1))
                 places, counts = ragged(part.column(2))
                 ends = np.cumsum(lengths)
@@ -241,7 +251,8 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     document does not count.  Null, empty and short texts have no passages; rows
     with a null id are not searched; repeated rows of an id are one document.
 
-    Copies are folded into their smallest id by a hash of the text.  Suffixes
+    The minimisers of all texts are stored in one pass.  Copies are folded into
+    their smallest id by a hash of the text.  Suffixes
     whose seed only one text has are dropped before any context is attached, and
     contexts of a fixed number of words are enough, as a longer passage holds a
     minimiser in every WINDOW seeds.  The sort splits a seed that very many
@@ -249,29 +260,27 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     rows at the ends of tasks are compared again in a second step.
     """
     owned = docs.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    keyed = owned.select("id", text_key("text").alias("key"), F.size(word_numbers(F.col("text"))).alias("n_words")).where(F.col("n_words") >= MIN_WORDS)
-    members = store(keyed.distinct(), "members").table
-    heads = store(members.groupBy("key").agg(F.min("id").alias("doc"), F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")), "heads").table
-
-    texts = owned.select(F.col("id").alias("doc"), word_numbers(F.col("text")).alias("words"))
-    every = store(suffixes(texts).join(heads.select("doc").distinct(), "doc", "left_semi").distinct(), "suffixes")
-    seeds = every.table.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("seed")
-    places = store(
-        every.table.join(seeds, "seed", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("places")), "places"
-    )
-    every.drop()
+    texts = owned.select(F.col("id").alias("doc"), text_key("text").alias("key"), word_numbers(F.col("text")).alias("words"))
+    signed = store(suffixes(texts), "suffixes").table
+    members = signed.select("key", F.col("doc").alias("id"), "n_words").distinct()
+    heads = members.groupBy("key").agg(F.min("id").alias("doc"), F.count(F.lit(1)).alias("n"))
+    one = signed.join(heads.select("key", "doc"), ["key", "doc"]).dropDuplicates(["key"])
+    every = one.select("doc", F.explode(F.arrays_zip("places", "seeds")).alias("s")).select("doc", "s.places", F.col("s.seeds").alias("seed"))
+    seeds = every.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("seed")
+    # Kept, so that both sides of the next join are plain shuffles, which a seed with very many rows can split.
+    seeds = seeds.persist(StorageLevel.DISK_ONLY)
+    places = every.join(seeds, "seed", "left_semi").groupBy("doc").agg(F.collect_set("places").alias("places"))
     contexts = _with_contexts(
-        owned.withColumnRenamed("id", "doc").join(places.table, "doc").select("doc", word_numbers(F.col("text")).alias("words"), "places")
+        owned.withColumnRenamed("id", "doc").join(places, "doc").select("doc", word_numbers(F.col("text")).alias("words"), "places")
     )
     kind = contexts.schema["doc"].dataType.simpleString()
     schema = f"doc {kind}, first int, last int, edge boolean, right binary, left binary"
     spark = docs.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["right", "doc", "pos"]
-    contexts = store(contexts, "contexts")
-    array = contexts.table.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    array = contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = store(array.mapInArrow(lambda batches: _neighbours(batches, True), schema), "neighbours").table
-    contexts.drop()
+    seeds.unpersist()
     across = (
         found.where("edge").select("doc", F.col("first").alias("pos"), "right", "left").distinct().coalesce(1).sortWithinPartitions(*order)
     )  # a few rows per task

@@ -47,10 +47,14 @@ def buckets(word: str) -> list[int]:
 
 @dataclass(frozen=True)
 class Model:
-    """The trained layers, folded into one number for each bucket: logit = bias + mean of the words."""
+    """The trained layers, folded into one number for each bucket: logit = bias + mean of the words.
+
+    ``empty`` is the logit of a text without words: the share of toxic texts.
+    """
 
     weights: np.ndarray
     bias: float
+    empty: float
 
     def word(self, word: str) -> float:
         return float(self.weights[buckets(word)].mean())
@@ -113,7 +117,8 @@ def train(
             move([grad + decay * vectors, hidden.T @ error, error.sum(0)])
     weights = np.zeros(BUCKETS)
     weights[used] = vectors @ (layer[:, 1] - layer[:, 0])
-    return Model(weights, float(bias[1] - bias[0]))
+    share = np.clip(np.average(found.labels, weights=found.weights), 1e-6, 1 - 1e-6)
+    return Model(weights, float(bias[1] - bias[0]), float(np.log(share / (1 - share))))
 
 
 class _Scores(dict):
@@ -132,7 +137,7 @@ class _Scores(dict):
 def score(text: str, model: Model | None) -> Column:
     """Probability that a text is toxic.
 
-    A null or empty text has no words and gets what the bias alone says; with
+    A null or empty text has no words and gets the share of toxic texts; with
     nothing to learn from the score is 0.  Row-local, whole texts.
     """
     if model is None:
@@ -144,7 +149,7 @@ def score(text: str, model: Model | None) -> Column:
             logits = []
             for value in texts:
                 words = _WORD.findall(value.lower()) if value else ()
-                logits.append(model.bias + (sum(map(known.__getitem__, words)) / len(words) if words else 0.0))
+                logits.append(model.bias + sum(map(known.__getitem__, words)) / len(words) if words else model.empty)
             yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -50, 50))), dtype=float)
 
     return F.pandas_udf(scored, "double")(F.col(text))

@@ -112,14 +112,16 @@ def grams(host: Column, path: Column, sizes: tuple[int, ...] = GRAM_SIZES) -> Co
     """Character n-grams of host and path, each marked with where it is from."""
 
     def of(value: Column, mark: str) -> list[Column]:
-        bounded = F.concat(F.lit("^"), value, F.lit("$"))
-        return [
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(bounded) - n + 1, F.lit(1))),
-                lambda i, n=n: F.concat(F.lit(mark), F.substring(bounded, i, F.lit(n))),
-            )
-            for n in sizes
-        ]
+        # The characters are bound to a name, so that they are made once per URL.
+        characters = F.array(F.split(F.concat(F.lit("^"), value, F.lit("$")), ""))
+
+        def cut(n: int):
+            def gram(c: Column, i: Column) -> Column:
+                return F.concat(F.lit(mark), *[F.coalesce(F.get(c, i + k), F.lit("")) for k in range(n)])
+
+            return lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: gram(c, i))
+
+        return [F.flatten(F.transform(characters, cut(n))) for n in sizes]
 
     return F.concat(*of(host, "h"), *of(path, "p"))
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PRIME = 0x9E3779B97F4A7C15
-_BITS = (1 << 64) - 1
 
 
 def word_numbers(text: Column) -> Column:
@@ -24,6 +24,18 @@ def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), lengths
 
 
+def some_words(batch: pa.RecordBatch, column: int, n_words: int = 400_000, n_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded number of words in its list ``column``, one row at least."""
+    lengths = np.nan_to_num(pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    start = 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(total, total[start] + n_words, side="right")) - 1
+        stop = min(max(stop, start + 1), start + n_rows, batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit numbers."""
     x = x.astype(np.uint64, copy=True)
@@ -35,6 +47,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# Unrelated odd numbers, one for each place in a run.
+FACTORS = list(mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1))
+
+
 def windows(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each run of ``size`` words inside its text, the text's number, the position in the text.
 
@@ -42,13 +58,24 @@ def windows(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndar
     """
     values = values.view(np.uint64) if values.dtype == np.int64 else values.astype(np.uint64)
     ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    position = np.arange(len(values)) - np.repeat(ends - lengths, lengths)
-    room = np.repeat(lengths, lengths) - position  # words up to the end of the text
-    total = np.zeros(len(values), np.uint64)
-    padded = np.concatenate([values, np.zeros(size, np.uint64)])
-    for i in range(size):
-        term = mixed(padded[i : i + len(values)] + np.uint64((i + 1) * _PRIME & _BITS))
-        total += np.where(room > i, term, np.uint64(0))
-    kept = (room >= size) | (position == 0)
-    return mixed(total[kept]), owner[kept], position[kept]
+    starts = ends - lengths
+    factors = FACTORS[:size]
+    total = np.zeros(max(len(values) - size + 1, 0), np.uint64)
+    for i, factor in enumerate(factors):
+        total += values[i : i + len(total)] * factor
+    full = np.maximum(lengths - size + 1, 0)
+    owner = np.repeat(np.arange(len(lengths)), full)
+    position = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
+    hashes = mixed(total[starts[owner] + position])
+    short = np.flatnonzero((lengths > 0) & (lengths < size))
+    if len(short):
+        rest = np.zeros(len(short), np.uint64)
+        for i, factor in enumerate(factors):
+            there = lengths[short] > i
+            rest[there] += values[starts[short[there]] + i] * factor
+        owner = np.concatenate([owner, short])
+        order = np.argsort(owner, kind="stable")
+        owner = owner[order]
+        hashes = np.concatenate([hashes, mixed(rest + np.uint64(1))])[order]
+        position = np.concatenate([position, np.zeros(len(short), np.int64)])[order]
+    return hashes, owner, position
