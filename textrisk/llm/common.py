@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from textrisk.storage import Stored, store
 
 #: Size up to which a counted table may be broadcast.
 BROADCAST_BYTES = 32 << 20
+ROWS_PER_FILE = 1 << 18
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -33,6 +35,20 @@ def sized(small: DataFrame, n_bytes: int) -> DataFrame:
     return F.broadcast(small) if n_bytes <= BROADCAST_BYTES else small
 
 
+def compact(df: DataFrame, name: str) -> Stored:
+    """``store`` for tables that are often small: few files for few rows.
+
+    All tasks work on the table, which stays on their disks until it has been
+    counted; the files are written from there.
+    """
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        n_files = max(1, -(-held.count() // ROWS_PER_FILE))
+        return store(held.coalesce(n_files) if n_files < 10_000 else held, name)
+    finally:
+        held.unpersist()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, n_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``n_bytes`` of text, one row at least."""
     for batch in batches:
@@ -59,7 +75,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> Stored
     many neighbours is never gathered.  Each step is written to the shared
     folder and the step before it deleted.
     """
-    current = store(
+    current = compact(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
     state = None
@@ -71,7 +87,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> Stored
         # Small star: neighbours below a node, and itself, move to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = store(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        following = compact(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         current.drop()
         current = following
         seen = current.table.agg(

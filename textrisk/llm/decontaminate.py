@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrisk.llm.common import sized
+from textrisk.llm.common import compact, sized
 from textrisk.llm.words import FACTORS, mixed
-from textrisk.storage import store
 
 WINDOW = 8
 #: Share of an item's words that consistent windows must cover.
@@ -176,7 +175,7 @@ def contaminated(
     are broadcast if they are counted to be small.
     """
     source = benchmark.where(F.col(item_column).isNotNull()).select(F.col(item_column).alias("id"), F.col(item_text).alias("text"))
-    cut = store(_rows(source, None, None), "item-windows").table
+    cut = compact(_rows(source, None, None), "item-windows").table
     facts = cut.agg(
         F.collect_set("size").alias("sizes"), F.sum(F.lit(64) + F.octet_length(F.array_join("slots", ""))).alias("n")
     ).first()
@@ -216,5 +215,5 @@ def contaminated(
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is found; all columns stay, and rows with a null id do."""
-    found = store(contaminated(docs, benchmark, id_column, text).select(id_column).distinct(), "contaminated").table
+    found = compact(contaminated(docs, benchmark, id_column, text).select(id_column).distinct(), "contaminated").table
     return docs.join(sized(found, 64 * found.count()), id_column, "left_anti")

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textrisk.llm.common import compact
 from textrisk.llm.words import mixed
 from textrisk.storage import store
 
@@ -120,7 +121,7 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = IDF
     """
     texts = docs.select(F.col(text).alias("text"))
     share = math.exp(-band[1])
-    local = store(
+    local = compact(
         _local_counts(texts, share).groupBy("term").agg(F.sum("n").alias("n"), F.sum("covered").alias("covered")), "terms"
     )
     totals = local.table.where("term IS NULL").first()

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textrisk.llm.common import sized
-from textrisk.storage import store
+from textrisk.llm.common import compact, sized
 
 #: Cosine from which a notice has the licence of a template.
 COSINE = 0.6
@@ -66,7 +65,7 @@ def notices(files: DataFrame, templates=TEMPLATES, cosine: float = COSINE) -> Da
     """
     spark = files.sparkSession
     speaking = files.where(F.col("text").rlike(_CUE))
-    lines = store(
+    lines = compact(
         speaking.select("file", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(_CUE)), "notices"
     )
     distinct = lines.table.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
@@ -77,7 +76,7 @@ def notices(files: DataFrame, templates=TEMPLATES, cosine: float = COSINE) -> Da
     total = lines.table.count() + len(templates)
     idf = frequency.select("term", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     weigh = lambda counted: counted.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    line_terms = store(weigh(of_lines).select("line", "term", "w"), "weights").table
+    line_terms = compact(weigh(of_lines).select("line", "term", "w"), "weights").table
     template_terms = weigh(of_templates).select("template", "license", "term", "w")
     lengths = line_terms.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     template_norms = template_terms.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
@@ -114,7 +113,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEM
     so a directory with a third of all files is expanded once.
     """
     named = files.where(F.col(path).isNotNull()).select(F.col(path).cast("string").alias("file"), F.col(text).alias("text"))
-    found = store(notices(named, templates, cosine), "licences").table
+    found = compact(notices(named, templates, cosine), "licences").table
     best = F.min(F.struct(F.negative("cosine").alias("minus"), "license")).alias("b")
     own = found.groupBy("file").agg(best, F.sum("length").alias("in_notices")).select(
         "file", "b.license", F.negative("b.minus").alias("cosine"), "in_notices"
@@ -124,7 +123,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEM
     judged = every.join(own, "file", "left")
     base = F.element_at(F.split("file", "/"), -1)
     is_licence = F.col("license").isNotNull() & (base.rlike(_LICENCE_NAME) | (F.col("in_notices") >= F.col("n_chars") * NOTICE_SHARE))
-    holders = store(
+    holders = compact(
         judged.where(is_licence).groupBy("directory").agg(best).select(
             F.col("directory").alias("holder"), F.col("b.license").alias("inherited"), F.negative("b.minus").alias("inherited_cosine")
         ),

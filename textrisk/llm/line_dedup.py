@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textrisk.llm.common import fresh, sized
-from textrisk.storage import Stored, store
+from textrisk.llm.common import compact, fresh, sized
+from textrisk.storage import Stored
 
 RATIO = 0.05
 MIN_PAGES = 5
@@ -60,7 +60,7 @@ def boilerplate_lines(
     )
     totals = owned.groupBy("host").agg(F.count(F.lit(1)).alias("n_total"))
     kept = counted.join(totals, "host").where(F.col("n_pages") > F.col("n_total") * F.lit(ratio))
-    stored = store(kept.groupBy("host").agg(F.collect_list(F.struct("h1", "h2")).alias("marks")), "boilerplate")
+    stored = compact(kept.groupBy("host").agg(F.collect_list(F.struct("h1", "h2")).alias("marks")), "boilerplate")
     size = stored.table.agg(F.sum(F.size("marks") * 16 + F.octet_length("host") + 32).alias("n")).first().n
     return Boilerplate(stored, size or 0)
 

@@ -8,6 +8,7 @@ runs it is the plain Jaccard similarity.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrisk.llm.common import connected_components, sized, text_key
+from textrisk.llm.common import compact, connected_components, sized, text_key
 from textrisk.llm.words import mixed, ragged, some_words, windows, word_numbers
-from textrisk.storage import store
+from textrisk.storage import Stored, store
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -171,58 +172,55 @@ def near_duplicates(
     the whole texts.
     """
     signed = store(banded(docs, id_column, text), "bands")
-    # The narrow tables of the search are kept on the executors' disks; what a lost
-    # executor held is worked out again from the stored signatures.
-    held: list[DataFrame] = []
-
-    def keep(table: DataFrame) -> DataFrame:
-        held.append(table.persist(StorageLevel.DISK_ONLY))
-        return held[-1]
-
     heads = signed.table.groupBy("key").agg(F.min("doc").alias("doc"))
-    bands = signed.table.join(heads, ["key", "doc"]).dropDuplicates(["key"]).select("doc", F.posexplode("bands").alias("band", "hash"))
-    bands = keep(bands)
+    one = signed.table.join(heads, ["key", "doc"]).dropDuplicates(["key"])
+    # What is kept on the executors' disks is worked out again from stored tables if one is lost.
+    bands = one.select("doc", F.posexplode("bands").alias("band", "hash")).persist(StorageLevel.DISK_ONLY)
     sizes = bands.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = bands.join(sizes, ["band", "hash"]).select("doc", "band", "hash", "n")
     company = shared.groupBy("doc").agg(F.sum("n").alias("company"))
-    left = keep(shared.join(company, "doc").select("doc", "band", "hash", "company"))
-    wanted = left.select("doc").distinct().join(heads, "doc")
+    left = compact(shared.join(company, "doc").select("doc", "band", "hash", "company"), "open")
+    bands.unpersist()
+    wanted = left.table.select("doc").distinct().join(heads, "doc")
     owned = docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text"), text_key(text).alias("key"))
-    texts = keep(owned.join(wanted, ["doc", "key"]).groupBy("doc").agg(F.min("text").alias("text")))
+    texts = store(owned.join(wanted, ["doc", "key"]).groupBy("doc").agg(F.min("text").alias("text")), "texts")
 
-    known: DataFrame | None = None
+    compared: list[Stored] = []
     n_centres = 1
     while True:
         # The member with most company, and from the second round on about four times as many others each time.
         draw = F.pmod(F.xxhash64("doc", "band", F.lit(n_centres)), F.lit(1 << 30)) / F.lit(1 << 30)
-        buckets = left.groupBy("band", "hash").agg(F.max(F.struct("company", "doc")).alias("c"), F.count(F.lit(1)).alias("n"))
-        marked = left.join(buckets.where("n > 1"), ["band", "hash"]).select(
+        buckets = left.table.groupBy("band", "hash").agg(F.max(F.struct("company", "doc")).alias("c"), F.count(F.lit(1)).alias("n"))
+        marked = left.table.join(buckets.where("n > 1"), ["band", "hash"]).select(
             "doc", "band", "hash", "company",
             ((F.col("doc") == F.col("c.doc")) | (draw * F.col("n") < n_centres - 1)).alias("is_centre"),
         )
         centres = marked.where("is_centre").select("band", "hash", F.col("doc").alias("centre"), F.col("company").alias("c_company"))
         ahead = F.struct("c_company", "centre") > F.struct("company", "doc")
-        judged = keep(
+        judged = (
             marked.join(centres, ["band", "hash"])
             .where(F.when(F.col("is_centre"), ahead).otherwise(F.lit(True)))
             .select("doc", "band", "hash", "company", "is_centre", F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b"))
+            .persist(StorageLevel.DISK_ONLY)
         )
         pairs = judged.select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = keep(verified(pairs, texts))
-        known = new if known is None else known.union(new)
+        for earlier in compared:
+            pairs = pairs.join(earlier.table.select("a", "b"), ["a", "b"], "left_anti")
+        compared.append(compact(verified(pairs, texts.table), "likeness"))
+        known = reduce(DataFrame.union, [c.table for c in compared])
         near = known.where(F.col("likeness") >= threshold).select("a", "b")
         # Every member met the centre with most company, so all that remain are in ``judged``.
         linked = judged.join(near.withColumn("near", F.lit(1)), ["a", "b"], "left")
         waiting = linked.where("NOT is_centre").groupBy("doc", "band", "hash", "company").agg(F.max("near").alias("near"))
-        left = keep(waiting.where("near IS NULL").drop("near"))
-        n_centres *= 4
-        if left.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        following = compact(waiting.where("near IS NULL").drop("near"), "open")
+        judged.unpersist()
+        left.drop()
+        left, n_centres = following, 4 * n_centres
+        if left.table.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
-    links = store(known.where(F.col("likeness") >= threshold).select("a", "b"), "links")
-    for table in held:
-        table.unpersist()
+    links = compact(known.where(F.col("likeness") >= threshold).select("a", "b"), "links")
+    for done in (left, texts, *compared):
+        done.drop()
     classes = connected_components(links.table)
     degree = links.table.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
     assigned = (
@@ -248,11 +246,11 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     ids repeat.
     """
     found = near_duplicates(docs.select(id_column, text), id_column, text, threshold)
-    others = store(found.where(F.col(id_column) != F.col("class_id")).select(id_column).distinct(), "others").table
+    others = compact(found.where(F.col(id_column) != F.col("class_id")).select(id_column).distinct(), "others").table
     n_others = others.count()
     kept = docs.join(sized(others, 64 * n_others), id_column, "left_anti")
     counts = docs.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.count(F.lit(1)).alias("n"))
-    repeated = store(counts.where("n > 1").select(id_column), "repeated").table
+    repeated = compact(counts.where("n > 1").select(id_column), "repeated").table
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, id_column, "left_semi").dropDuplicates([id_column])
