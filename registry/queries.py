@@ -28,7 +28,7 @@ from textrisk.operators.findings import candidates, explode_spans, with_counts,
 from textrisk.operators.prefix import first_rows, with_position
 from textrisk.plans.analyze import analyze, assess, with_combined_score
 from textrisk.plans.audit import audit_rows, read_audit, run_audit, write_audit
-from textrisk.plans.model import RiskModel, Weights
+from textrisk.plans.model import RiskModel, TermVectors, Weights
 from textrisk.plans.train import TrainResult, evaluate, prepare, time_split, train
 from textrisk.schema import RAW_FIELDS
 from textrisk.sources.raw import parse_json_lines, parse_labelled_dump, read_raw
@@ -251,7 +251,9 @@ def vocabulary_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_documents(spark: SparkSession, sf: str) -> DataFrame:
-    weighed = tfidf.weigh(tfidf.term_counts(_tokens(spark, sf)), _vocabulary(spark, sf))
+    terms = _vocabulary(spark, sf)
+    vectors = TermVectors(terms, terms.count(), "tokens", "weights")
+    weighed = vectors.weights(_tokens(spark, sf))
     return weighed.select("record_id", "term", F.round("weight", 6).alias("weight"))
 
 

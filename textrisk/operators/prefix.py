@@ -12,24 +12,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textrisk.storage import materialize
+
 # Position columns of a scanned file: path, offset of the block, row in the task.
 ROW_ORDER = ("_file", "_block", "_row")
 
 
 def _group_reaching(groups: DataFrame, keys: Sequence[str], n: int) -> tuple | None:
     """From groups with a size ``n_rows``: the key of the group that holds row
-    number ``n`` and how many rows lie before it; None if there are fewer rows."""
+    number ``n``, how many rows lie before it and how many in it; None if there are
+    fewer rows."""
     upto = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     reached = (
         groups.withColumn("upto", F.sum("n_rows").over(upto))
         .filter(F.col("upto") >= n)
         .orderBy("upto")
-        .select(*keys, (F.col("upto") - F.col("n_rows")).alias("before"))
+        .select(*keys, (F.col("upto") - F.col("n_rows")).alias("before"), "n_rows")
         .first()
     )
     if reached is None:
         return None
-    return tuple(reached[k] for k in keys), int(reached["before"])
+    return tuple(reached[k] for k in keys), int(reached["before"]), int(reached["n_rows"])
 
 
 def with_position(rows: DataFrame) -> DataFrame:
@@ -50,11 +53,13 @@ def first_rows(rows: DataFrame, n: int) -> DataFrame:
     block is what one task reads.
     """
     path, block, row = ROW_ORDER
-    # Both passes must cut the files into the same blocks: fix the number the
-    # block size depends on, and (below) keep the filters from pruning files.
-    conf = rows.sparkSession.conf
-    if conf.get("spark.sql.files.minPartitionNum", None) is None:
-        conf.set("spark.sql.files.minPartitionNum", str(rows.sparkSession.sparkContext.defaultParallelism))
+    # Both passes must meet the same blocks.  How Spark cuts files into blocks depends
+    # on the number of cores, which on a cluster changes with its executors; there the
+    # positions are fixed by storing them with the rows.
+    spark = rows.sparkSession
+    pinned = spark.conf.get("spark.sql.files.minPartitionNum", None) is not None
+    if n > 0 and not pinned and not spark.sparkContext.master.startswith("local"):
+        rows = materialize(rows, "positioned")
     plain = rows.drop(*ROW_ORDER)
     if n <= 0:
         return plain.limit(0)
@@ -62,7 +67,7 @@ def first_rows(rows: DataFrame, n: int) -> DataFrame:
     found = _group_reaching(sizes, (path, block), n)
     if found is None:
         return plain
-    (last_path, last_block), before = found
+    (last_path, last_block), before, _ = found
     at = (F.col(path) == last_path) & (F.col(block) == last_block)
     earlier = (F.col(path) < last_path) | ((F.col(path) == last_path) & (F.col(block) < last_block))
     in_block = Window.partitionBy(path, block).orderBy(row)
@@ -98,17 +103,20 @@ def split_in_order(df: DataFrame, n: int, order: str = "created_at", key: str =
         found = _level_reaching(df.filter(inside), level, left)
         if found is None:
             return df, df.limit(0)
-        instant, left = found
+        instant, left, size = found
         # The first condition is one that a scan can use to skip row groups.
         inside = time.startswith(instant) & (level == instant) if instant else level == instant
 
+    if left == size:  # the whole instant belongs to the first part, as with unique times
+        return df.filter(time.isNull() | (time <= instant)).filter(value <= instant), df.filter(value > instant)
+
     inside = time == instant if instant else value == ""
     before = F.lit(False)
     by_key = _slices(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
     by_row = _slices(F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})))
     for levels in (by_key, by_row):
         for level in levels:
-            bound, left = _level_reaching(df.filter(inside), level, left)
+            bound, left, _ = _level_reaching(df.filter(inside), level, left)
             before = before | (inside & (level < bound))
             inside = inside & (level == bound)
         size = df.filter(inside).count()
@@ -127,11 +135,11 @@ def split_in_order(df: DataFrame, n: int, order: str = "created_at", key: str =
     return first.unionByName(_copies(copies, left)), second.filter(~inside).unionByName(_copies(copies, size - left))
 
 
-def _level_reaching(rows: DataFrame, level: Column, n: int) -> tuple[str, int] | None:
-    """The group of ``level`` that holds row ``n`` and the place of that row in it."""
+def _level_reaching(rows: DataFrame, level: Column, n: int) -> tuple[str, int, int] | None:
+    """The group of ``level`` that holds row ``n``, the place of that row in it and its size."""
     sizes = rows.groupBy(level.alias("bound")).agg(F.count(F.lit(1)).alias("n_rows"))
     found = _group_reaching(sizes, ("bound",), n)
-    return None if found is None else (found[0][0], n - found[1])
+    return None if found is None else (found[0][0], n - found[1], found[2])
 
 
 def _copies(equal_rows: DataFrame, n: int) -> DataFrame:
