@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from textrisk.llm.licenses import COSINE, NOTICE_SHARE, TEMPLATES
 from textrisk.llm.line_dedup import MIN_PAGES, RATIO
 
 _LINE_DEDUP = f"""
@@ -27,4 +28,59 @@ SELECT doc_id, CASE WHEN pages.text IS NULL THEN NULL ELSE coalesce(kept.text, '
 FROM pages LEFT JOIN kept USING (r)
 """
 
-ORACLES = {"op1_line_dedup": _LINE_DEDUP}
+_CUE = "(?i)licen[cs]|copyright|permission|redistribut|public domain|spdx"
+_TERMS_OF = "regexp_extract_all(lower(line), '[a-z0-9]+(?:\\.[0-9]+)*')"
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{line}')" for i, (name, line) in enumerate(TEMPLATES))
+
+_LICENSES = f"""
+WITH files AS (
+  SELECT coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || doc_id || '.txt' AS file, text FROM documents WHERE doc_id IS NOT NULL),
+lines AS (SELECT * FROM (SELECT file, unnest(string_split(text, chr(10))) AS line FROM files) WHERE regexp_matches(line, '{_CUE}')),
+templates(template, license, line) AS (VALUES {_TEMPLATE_ROWS}),
+seen AS (SELECT line, count(*) AS n FROM lines GROUP BY line),
+line_tf AS (SELECT line, n, term, count(*) AS tf FROM (SELECT line, n, unnest({_TERMS_OF}) AS term FROM seen) GROUP BY ALL),
+template_tf AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({_TERMS_OF}) AS term FROM templates) GROUP BY ALL),
+frequency AS (
+  SELECT term, sum(n) AS df FROM (SELECT term, n FROM line_tf UNION ALL SELECT term, 1 FROM template_tf) GROUP BY term),
+idf AS (
+  SELECT term, ln(((SELECT count(*) FROM lines) + {len(TEMPLATES)} + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0 AS idf FROM frequency),
+line_w AS (SELECT line, term, tf * idf AS w FROM line_tf JOIN idf USING (term)),
+template_w AS (SELECT template, license, term, tf * idf AS w FROM template_tf JOIN idf USING (term)),
+line_norm AS (SELECT line, sqrt(sum(w * w)) AS norm FROM line_w GROUP BY line),
+template_norm AS (SELECT template, sqrt(sum(w * w)) AS norm FROM template_w GROUP BY template),
+dots AS (
+  SELECT l.line, t.template, t.license, sum(l.w * t.w) AS dot FROM line_w l JOIN template_w t USING (term) GROUP BY ALL),
+cosines AS (
+  SELECT d.line, license, round(dot / (l.norm * t.norm), 9) AS cosine
+  FROM dots d JOIN line_norm l USING (line) JOIN template_norm t USING (template)),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY cosine DESC, license) AS place FROM cosines)
+  WHERE place = 1 AND cosine >= {COSINE}),
+found AS (SELECT file, length(line) AS n, license, cosine FROM lines JOIN best USING (line)),
+own AS (
+  SELECT * FROM (
+    SELECT file, license, cosine, sum(n) OVER (PARTITION BY file) AS in_notices,
+      row_number() OVER (PARTITION BY file ORDER BY cosine DESC, license) AS place FROM found) WHERE place = 1),
+judged AS (
+  SELECT f.file, f.directory, license, cosine, in_notices, n_chars FROM (
+    SELECT file, regexp_extract(file, '^(.*)/[^/]*$', 1) AS directory, sum(coalesce(length(text), 0)) AS n_chars FROM files GROUP BY ALL) f
+  LEFT JOIN own USING (file)),
+holders AS (
+  SELECT * FROM (
+    SELECT directory AS holder, license AS inherited, cosine AS inherited_cosine,
+      row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, license) AS place
+    FROM judged WHERE license IS NOT NULL AND in_notices >= n_chars * {NOTICE_SHARE}) WHERE place = 1),
+above AS (
+  SELECT directory, depth, array_to_string(string_split(directory, '/')[1:depth], '/') AS holder
+  FROM (SELECT directory, unnest(range(0, len(string_split(directory, '/')) + 1)) AS depth FROM (SELECT DISTINCT directory FROM judged))),
+nearest AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY directory ORDER BY depth DESC) AS nth FROM above JOIN holders USING (holder)) WHERE nth = 1)
+SELECT file AS path, coalesce(license, inherited) AS license,
+  round(CASE WHEN license IS NOT NULL THEN cosine ELSE inherited_cosine END, 6) AS cosine,
+  CASE WHEN license IS NOT NULL THEN 'own' WHEN inherited IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN license IS NOT NULL THEN directory ELSE holder END AS from_directory
+FROM judged LEFT JOIN nearest USING (directory)
+"""
+
+ORACLES = {"op1_line_dedup": _LINE_DEDUP, "op6_licenses": _LICENSES}
