@@ -13,7 +13,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textrisk.llm.common import compact, connected_components, sized, text_key
@@ -24,6 +24,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 40
 ROWS = 8
+#: Likeness that two signatures must suggest before whole texts are compared.  At THRESHOLD
+#: the estimate stays below it with probability 0.0001.
+SUGGESTED = 0.7
 _STEP, _BITS = 0xD1342543DE82EF95, (1 << 64) - 1
 
 
@@ -92,7 +95,8 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def banded(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(doc, key, bands): identity of the text and a hash for each band; texts without words have none."""
+    """(doc, key, bands, sketch): identity of the text, a hash for each band, and two
+    bits of each register; texts without words have no bands."""
     size, columns = BANDS * ROWS, ["doc", "key", "words"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +112,24 @@ def banded(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.where(lengths > 0, BANDS, 0))]).astype(np.int32)
                 flat = pa.array(band[lengths > 0].ravel().view(np.int64))
                 bands = pa.ListArray.from_arrays(pa.array(offsets), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bands], names=["doc", "key", "bands"])
+                pairs = (signature.reshape(-1, size // 32, 32) & np.uint64(3)) << np.arange(0, 64, 2, dtype=np.uint64)
+                bits = pa.array(np.bitwise_or.reduce(pairs, axis=2).ravel().view(np.int64))
+                places = pa.array(np.arange(0, (part.num_rows + 1) * (size // 32), size // 32, dtype=np.int32))
+                sketch = pa.ListArray.from_arrays(places, bits)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bands, sketch], names=["doc", "key", "bands", "sketch"])
 
     rows = docs.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(
         F.col(id_column).alias("doc"), text_key(text).alias("key"), word_numbers(F.col(text)).alias("words")
     )
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.select(columns).mapInArrow(sign, f"doc {kind}, key string, bands array<bigint>")
+    return rows.select(columns).mapInArrow(sign, f"doc {kind}, key string, bands array<bigint>, sketch array<bigint>")
+
+
+def suggested(a: str, b: str) -> Column:
+    """Likeness that two sketches suggest: unlike registers agree in two bits by chance in a quarter of the cases."""
+    differ = [f"({a}[{i}] ^ {b}[{i}])" for i in range(BANDS * ROWS // 32)]
+    unlike = " + ".join(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & {0x5555555555555555}L)" for x in differ)
+    return 1 - F.expr(unlike) / F.lit(BANDS * ROWS) / 0.75
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -168,8 +183,8 @@ def near_duplicates(
     a centre, the member with most company over all bands.  Members that are not
     linked to it stay for another round with about four times as many centres, until no
     two of them remain in a bucket: alike texts take one comparison each, and only
-    texts that are alike to no centre meet more of them.  Every link is verified on
-    the whole texts.
+    texts that are alike to no centre meet more of them.  Pairs whose signatures suggest
+    less than SUGGESTED are left out; every link is verified on the whole texts.
     """
     signed = store(banded(docs, id_column, text), "bands")
     heads = signed.table.groupBy("key").agg(F.min("doc").alias("doc"))
@@ -179,7 +194,8 @@ def near_duplicates(
     sizes = bands.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = bands.join(sizes, ["band", "hash"]).select("doc", "band", "hash", "n")
     company = shared.groupBy("doc").agg(F.sum("n").alias("company"))
-    left = compact(shared.join(company, "doc").select("doc", "band", "hash", "company"), "open")
+    drawn = one.select("doc", "sketch")
+    left = compact(shared.join(company, "doc").join(drawn, "doc").select("doc", "band", "hash", "company", "sketch"), "open")
     bands.unpersist()
     wanted = left.table.select("doc").distinct().join(heads, "doc")
     owned = docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text"), text_key(text).alias("key"))
@@ -192,15 +208,22 @@ def near_duplicates(
         draw = F.pmod(F.xxhash64("doc", "band", F.lit(n_centres)), F.lit(1 << 30)) / F.lit(1 << 30)
         buckets = left.table.groupBy("band", "hash").agg(F.max(F.struct("company", "doc")).alias("c"), F.count(F.lit(1)).alias("n"))
         marked = left.table.join(buckets.where("n > 1"), ["band", "hash"]).select(
-            "doc", "band", "hash", "company",
+            "doc", "band", "hash", "company", "sketch",
             ((F.col("doc") == F.col("c.doc")) | (draw * F.col("n") < n_centres - 1)).alias("is_centre"),
         )
-        centres = marked.where("is_centre").select("band", "hash", F.col("doc").alias("centre"), F.col("company").alias("c_company"))
+        centres = marked.where("is_centre").select(
+            "band", "hash", F.col("doc").alias("centre"), F.col("company").alias("c_company"), F.col("sketch").alias("c_sketch")
+        )
         ahead = F.struct("c_company", "centre") > F.struct("company", "doc")
         judged = (
-            marked.join(centres, ["band", "hash"])
-            .where(F.when(F.col("is_centre"), ahead).otherwise(F.lit(True)))
-            .select("doc", "band", "hash", "company", "is_centre", F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b"))
+            marked.join(
+                centres.withColumnsRenamed({"band": "c_band", "hash": "c_hash"}),
+                (F.col("band") == F.col("c_band"))
+                & (F.col("hash") == F.col("c_hash"))
+                & (ahead | ~F.col("is_centre"))
+                & (suggested("sketch", "c_sketch") >= SUGGESTED),
+            )
+            .select("doc", "band", "hash", F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b"))
             .persist(StorageLevel.DISK_ONLY)
         )
         pairs = judged.select("a", "b").distinct()
@@ -209,10 +232,9 @@ def near_duplicates(
         compared.append(compact(verified(pairs, texts.table), "likeness"))
         known = reduce(DataFrame.union, [c.table for c in compared])
         near = known.where(F.col("likeness") >= threshold).select("a", "b")
-        # Every member met the centre with most company, so all that remain are in ``judged``.
-        linked = judged.join(near.withColumn("near", F.lit(1)), ["a", "b"], "left")
-        waiting = linked.where("NOT is_centre").groupBy("doc", "band", "hash", "company").agg(F.max("near").alias("near"))
-        following = compact(waiting.where("near IS NULL").drop("near"), "open")
+        linked = judged.join(near, ["a", "b"], "left_semi").select("doc", "band", "hash").distinct()
+        waiting = marked.where("NOT is_centre").join(linked, ["doc", "band", "hash"], "left_anti").drop("is_centre")
+        following = compact(waiting, "open")
         judged.unpersist()
         left.drop()
         left, n_centres = following, 4 * n_centres
