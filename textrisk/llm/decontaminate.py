@@ -28,7 +28,7 @@ COVERAGE = 0.5
 LITERALS = 3
 #: Bits of the table that tells most document windows apart from item windows.
 FILTER_BITS = 22
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*%?")
 # Words that are units after a number.

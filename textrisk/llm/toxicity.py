@@ -33,7 +33,7 @@ MIN_TEXTS = 8
 DECAY = 1e-7
 THRESHOLD = 0.5
 #: Words whose score a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _WORD = re.compile(r"\w+")
 
