@@ -108,7 +108,8 @@ def split_in_order(df: DataFrame, n: int, order: str = "created_at", key: str =
         inside = time.startswith(instant) & (level == instant) if instant else level == instant
 
     if left == size:  # the whole instant belongs to the first part, as with unique times
-        return df.filter(time.isNull() | (time <= instant)).filter(value <= instant), df.filter(value > instant)
+        newer = df.filter(time >= instant) if instant else df
+        return df.filter(time.isNull() | (time <= instant)).filter(value <= instant), newer.filter(value > instant)
 
     inside = time == instant if instant else value == ""
     before = F.lit(False)
