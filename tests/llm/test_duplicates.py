@@ -105,6 +105,29 @@ def test_classes_match_brute_force(spark, corpus):
     assert sum(r.n_links > 0 for r in got.values()) > 30
 
 
+def test_satellites_of_members_of_a_hot_group(spark):
+    """Each satellite is like one member of a group of 1,500, and not like its centre."""
+    rng = random.Random(11)
+    base = _prose(rng, 200).split()
+
+    def changed(words, places):
+        out = list(words)
+        for p in places:
+            out[p] = f"edit{rng.randrange(10**9)}"
+        return out
+
+    group = [changed(base, [rng.randrange(5, 195)]) for _ in range(1500)]
+    satellites = []
+    for k in range(20):
+        own = next(i for i in range(200) if group[k][i] != base[i])
+        free = [p for p in range(5, 195, 7) if abs(p - own) > 5]
+        satellites.append(changed(group[k], rng.sample(free, 4)))
+        assert _likeness(" ".join(satellites[k]), " ".join(base)) < 0.8 <= _likeness(" ".join(satellites[k]), " ".join(group[k]))
+    rows = list(enumerate(" ".join(t) for t in [base, *group, *satellites]))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(_docs(spark, rows)).collect()}
+    assert got == dict.fromkeys(range(len(rows)), 0)
+
+
 def test_one_of_each_class_stays(spark, corpus):
     docs = _docs(spark, corpus).selectExpr("*", "doc_id as class_id", "1 as doc", "text as band")
     kept = minhash.one_of_each(docs)

@@ -166,6 +166,33 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return words.mapInArrow(cut, f"a {kind}, b {kind}, likeness double")
 
 
+def _apart(members: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): pairs of a bucket's members (doc, band, hash, sketch) in different classes that are not among ``known``."""
+    bucket = ["band", "hash"]
+    named = members.join(classes.withColumnRenamed("node", "doc"), "doc", "left").select(
+        "doc", *bucket, "sketch", F.coalesce("component", "doc").alias("class")
+    )
+    largest = (
+        named.groupBy(*bucket, "class").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(bucket).agg(F.max(F.struct("n", "class")).alias("most"), F.count(F.lit(1)).alias("n_classes"))
+        .where("n_classes > 1")
+    )
+    split = named.join(largest, bucket).select("doc", *bucket, "sketch", "class", (F.col("class") != F.col("most.class")).alias("is_odd"))
+    odd = split.where("is_odd").select(
+        F.col("band").alias("o_band"), F.col("hash").alias("o_hash"), F.col("doc").alias("o_doc"), F.col("sketch").alias("o_sketch"), F.col("class").alias("o_class")
+    )
+    pairs = split.join(
+        odd,
+        (F.col("band") == F.col("o_band"))
+        & (F.col("hash") == F.col("o_hash"))
+        & (F.col("class") != F.col("o_class"))
+        & (~F.col("is_odd") | (F.col("doc") < F.col("o_doc")))
+        & (suggested("sketch", "o_sketch") >= SUGGESTED),
+    )
+    pairs = pairs.select(F.least("doc", "o_doc").alias("a"), F.greatest("doc", "o_doc").alias("b")).distinct()
+    return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -183,8 +210,11 @@ def near_duplicates(
     a centre, the member with most company over all bands.  Members that are not
     linked to it stay for another round with about four times as many centres, until no
     two of them remain in a bucket: alike texts take one comparison each, and only
-    texts that are alike to no centre meet more of them.  Pairs whose signatures suggest
-    less than SUGGESTED are left out; every link is verified on the whole texts.
+    texts that are alike to no centre meet more of them.  At last the members of a bucket
+    that the links so far leave in different classes meet, those outside its largest
+    class with all others; so each pair in a bucket is compared or in one class.  Pairs
+    whose signatures suggest less than SUGGESTED are left out; every link is verified on
+    the whole texts.
     """
     signed = store(banded(docs, id_column, text), "bands")
     heads = signed.table.groupBy("key").agg(F.min("doc").alias("doc"))
@@ -195,14 +225,14 @@ def near_duplicates(
     shared = bands.join(sizes, ["band", "hash"]).select("doc", "band", "hash", "n")
     company = shared.groupBy("doc").agg(F.sum("n").alias("company"))
     drawn = one.select("doc", "sketch")
-    left = compact(shared.join(company, "doc").join(drawn, "doc").select("doc", "band", "hash", "company", "sketch"), "open")
+    met = compact(shared.join(company, "doc").join(drawn, "doc").select("doc", "band", "hash", "company", "sketch"), "open")
     bands.unpersist()
-    wanted = left.table.select("doc").distinct().join(heads, "doc")
+    wanted = met.table.select("doc").distinct().join(heads, "doc")
     owned = docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text"), text_key(text).alias("key"))
     texts = store(owned.join(wanted, ["doc", "key"]).groupBy("doc").agg(F.min("text").alias("text")), "texts")
 
     compared: list[Stored] = []
-    n_centres = 1
+    left, n_centres = met, 1
     while True:
         # The member with most company, and from the second round on about four times as many others each time.
         draw = F.pmod(F.xxhash64("doc", "band", F.lit(n_centres)), F.lit(1 << 30)) / F.lit(1 << 30)
@@ -236,14 +266,20 @@ def near_duplicates(
         waiting = marked.where("NOT is_centre").join(linked, ["doc", "band", "hash"], "left_anti").drop("is_centre")
         following = compact(waiting, "open")
         judged.unpersist()
-        left.drop()
+        if left is not met:
+            left.drop()
         left, n_centres = following, 4 * n_centres
         if left.table.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
-    links = compact(known.where(F.col("likeness") >= threshold).select("a", "b"), "links")
-    for done in (left, texts, *compared):
+    classes = connected_components(known.where(F.col("likeness") >= threshold).select("a", "b"))
+    rest = compact(verified(_apart(met.table, classes.table, known), texts.table), "likeness")
+    compared.append(rest)
+    links = compact(known.unionByName(rest.table).where(F.col("likeness") >= threshold).select("a", "b"), "links")
+    if not rest.table.where(F.col("likeness") >= threshold).isEmpty():
+        classes.drop()
+        classes = connected_components(links.table)
+    for done in (met, left, texts, *compared):
         done.drop()
-    classes = connected_components(links.table)
     degree = links.table.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
     assigned = (
         signed.table.select("key", F.col("doc").alias("id")).distinct()
