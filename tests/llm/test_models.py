@@ -71,6 +71,21 @@ def test_misspelt_words_score_like_the_words_they_stand_for(toxic_model):
     assert toxic_model.word("blockhead") > 5 * abs(toxic_model.word("morning"))
 
 
+def test_words_are_read_to_their_end(spark, toxic_model, monkeypatch):
+    lead = "house_river_" * 10
+    assert toxic_model.word(lead + "blockhead") > toxic_model.word(lead + "morning") + 1e-6
+    long = lead * 50 + "blockhead"
+    whole, grams = toxic_model.word(long), sorted(toxicity.buckets(long))
+    assert len(grams) == sum(len(long) + 3 - n for n in toxicity.SIZES) + 1
+    monkeypatch.setattr(toxicity, "BLOCK", 100)
+    assert sorted(toxicity.buckets(long)) == grams and toxic_model.word(long) == pytest.approx(whole)
+    # Learned from as well: insults that stand only after the 64th character of a run.
+    texts = [lead + (rng_word + "_blockhead" if k % 2 else rng_word + "_morning") for k, rng_word in enumerate(f"w{i}" for i in range(60))]
+    model = toxicity.train(Sample(texts, np.array([float(k % 2) for k in range(60)]), np.ones(60)), epochs=20)
+    scores = [r.s for r in _docs(spark, list(enumerate(texts))).select("doc_id", toxicity.score("text", model).alias("s")).orderBy("doc_id").collect()]
+    assert min(scores[1::2]) > max(scores[0::2])
+
+
 def test_toxic_texts_go_and_odd_ones_stay(spark, toxic_model):
     found = _toxic_sample()
     rows = list(enumerate(found.texts)) + [(1000, None), (1001, ""), (1002, "...!"), (None, found.texts[1]), (1003, (found.texts[1] + " ") * 2_000)]

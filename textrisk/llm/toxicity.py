@@ -32,17 +32,29 @@ MIN_TEXTS = 8
 #: Pull of the vectors towards zero, against learning single texts by heart.
 DECAY = 1e-7
 THRESHOLD = 0.5
-#: Words whose score a task remembers.
+#: Words whose score a task remembers, and characters of the longest.
 REMEMBERED = 100_000
+LONGEST = 64
+#: Characters of a long word whose n-grams are held at a time.
+BLOCK = 1 << 14
 
 _WORD = re.compile(r"\w+")
 
 
+def _blocks(word: str) -> Iterator[list[int]]:
+    """Hash buckets of the n-grams that begin in each block of the word, and at last of the word itself."""
+    marked = f"<{word}>"
+    for start in range(0, len(marked), BLOCK):
+        part = marked[start : start + BLOCK + max(SIZES) - 1]
+        grams = [part[i : i + n] for n in SIZES for i in range(min(BLOCK, len(part) - n + 1))]
+        if start + BLOCK >= len(marked):
+            grams.append(word)
+        yield [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+
+
 def buckets(word: str) -> list[int]:
-    """Hash buckets of the word and of its n-grams."""
-    marked = f"<{word[:64]}>"
-    grams = [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in (*grams, word)]
+    """Hash buckets of the word and of all its n-grams."""
+    return [b for part in _blocks(word) for b in part]
 
 
 @dataclass(frozen=True)
@@ -57,7 +69,12 @@ class Model:
     empty: float
 
     def word(self, word: str) -> float:
-        return float(self.weights[buckets(word)].mean())
+        if len(word) + 2 <= BLOCK:
+            return float(self.weights[buckets(word)].mean())
+        total, n = 0.0, 0
+        for part in _blocks(word):
+            total, n = total + float(self.weights[part].sum()), n + len(part)
+        return total / n
 
 
 def _matrix(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -69,10 +86,14 @@ def _matrix(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         if not counts:
             rows.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
             continue
+        lists = []
         for word in counts:
-            if word not in known:
-                known[word] = np.array(buckets(word), np.int32)
-        lists = [known[w] for w in counts]
+            found = known.get(word)
+            if found is None:
+                found = np.array(buckets(word), np.int32)
+                if len(word) <= LONGEST:
+                    known[word] = found
+            lists.append(found)
         sizes = np.array([len(x) for x in lists])
         share = np.repeat(np.array(list(counts.values())) / sizes / sum(counts.values()), sizes)
         index, where = np.unique(np.concatenate(lists), return_inverse=True)
@@ -128,9 +149,11 @@ class _Scores(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = self.model.word(word)
+        value = self.model.word(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -138,7 +161,8 @@ def score(text: str, model: Model | None) -> Column:
     """Probability that a text is toxic.
 
     A null or empty text has no words and gets the share of toxic texts; with
-    nothing to learn from the score is 0.  Row-local, whole texts.
+    nothing to learn from the score is 0.  Row-local, whole texts: a text without
+    blanks is one word, of which all n-grams count.
     """
     if model is None:
         return F.lit(0.0)
