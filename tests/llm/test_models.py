@@ -158,6 +158,23 @@ def _found(spark, texts, items=ITEMS):
     return {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(_docs(spark, texts), benchmark).collect()}
 
 
+def test_verbatim_items_are_found_whatever_their_slots(spark):
+    tale = ITEMS[0][1] + " He sells 5 plums, 7 pears and 9 figs to the old baker who lives near the small bridge over the river."
+    items = [(1, "What is 12 + 30 / 4 - 7?"), (2, tale), (3, "Name three rivers that cross 12 borders"), (4, "Sort these words by length and read them. Then count 6")]
+    texts = [
+        (1, "we ask: what is 12 + 30 / 4 - 7? nobody knows"),
+        (2, tale.replace("sells 5", "sells 6")),  # one of two equal numbers
+        (3, "Q: Name three rivers that cross 12 borders"),
+        (4, "Q: Name three rivers that cross 15 borders"),
+        (5, "what is 13 + 30 / 4 - 7 ?"),
+        (6, "Name tall hills that cross 12 borders"),
+    ]
+    got = {(r.doc_id, r.item_id): (round(r.coverage, 2), r.exact) for r in decontaminate.contaminated(
+        _docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == {(1, 1), (2, 2), (3, 3), (4, 3)}
+    assert got[1, 1] == (1.0, True) and got[2, 2][1] and got[3, 3] == (1.0, True) and got[4, 3] == (1.0, False)
+
+
 def test_items_are_found_with_other_values(spark):
     other = ITEMS[0][1].replace("Tom", "Bob").replace("12", "31").replace(" 5 ", " 9 ").replace("Anna", "Ruth")
     mixed = ITEMS[0][1].replace("named Tom", "named Bob").replace("does Tom", "does Jim")

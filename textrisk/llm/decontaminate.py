@@ -4,7 +4,9 @@ A text becomes a template: numbers, names and units turn into typed placeholders
 other words are compared in lower case without punctuation around them.  Windows
 of template words of documents and items are joined by hash; along one alignment
 the values in the slots must agree in one way: equal values of the item stand
-for equal values of the document.
+for equal values of the document.  Windows of the plain words are joined as well,
+so that a verbatim copy is found whatever its slots are; and windows in which the
+first word of a sentence is taken for a name.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ UNITS = frozenset(
 )
 _MARKS = "!\"#&'()*,./:;<=>?@[\\]^_`{|}~«»“”‘’„…—–"
 _NUM, _UNIT, _CAP, _END = 1, 2, 4, 8
+_AS_WRITTEN, _FIRST_IS_NAME, _PLAIN = 0, 1, 2
 _PLACE = {"n": np.uint64(11 << 4), "u": np.uint64(13 << 4), "p": np.uint64(17 << 4)}
 def _bare(word: str) -> str:
     """A word without the marks around it; signs of a number stay."""
@@ -83,37 +86,63 @@ class Template:
         unit = (codes & np.uint64(_UNIT)) > 0
         unit[1:] &= number[:-1]
         unit[:1] = False
-        name = ((codes & np.uint64(_CAP)) > 0) & ~first & ~number & ~unit
-        self.hashes = codes & np.uint64(0xFFFFFFFFFFFFFFF0)
+        name = ((codes & np.uint64(_CAP)) > 0) & ~number & ~unit
+        self.first_names = name & first
+        name = name & ~first
+        self.plain = codes & np.uint64(0xFFFFFFFFFFFFFFF0)
+        self.hashes = self.plain.copy()
         self.slots = number | unit | name
         self.kinds = {"n": number, "u": unit, "p": name}
         for mark, where in self.kinds.items():
             self.hashes[where] = _PLACE[mark]
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the runs of ``size`` template words that hold enough literal ones."""
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, hashes and forms of the runs of ``size`` template words.
+
+        A run comes with its slots, and where it has sentence-first names with those
+        as slots too, if it holds enough literal words; with slots it comes plain as well.
+        """
         n = len(self.hashes) - size + 1
         if n < 1:
-            return np.zeros(0, int), np.zeros(0, np.uint64)
-        total = np.full(n, size, np.uint64)
-        for i in range(size):
-            total += self.hashes[i : i + n] * FACTORS[i]
-        total = mixed(total)
-        literal = np.concatenate([[0], np.cumsum(~self.slots)])
-        kept = np.flatnonzero(literal[size:] - literal[:n] >= min(size, LITERALS))
-        return kept, total[kept]
+            return np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int)
+
+        def inside(marks: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(marks)])
+            return total[size:] - total[:n]
 
-    def values(self, start: int, size: int) -> list[str]:
-        """Slots of a window: kind and bare lower-case value."""
-        at = start + np.flatnonzero(self.slots[start : start + size])
-        return [f"{next(k for k, w in self.kinds.items() if w[i])}:{_bare(self.words[self.at[i]]).lower()}" for i in at]
+        enough = size - min(size, LITERALS)
+        n_slots, n_first = inside(self.slots), inside(self.first_names)
+        forms = [(_AS_WRITTEN, self.hashes, n_slots <= enough)]
+        if self.first_names.any():
+            named = np.where(self.first_names, _PLACE["p"], self.hashes)
+            forms.append((_FIRST_IS_NAME, named, (n_first > 0) & (n_slots + n_first <= enough)))
+        if self.slots.any():
+            forms.append((_PLAIN, self.plain, n_slots > 0))
+        places, found, kinds = [], [], []
+        for form, hashes, wanted in forms:
+            total = np.full(n, size, np.uint64)
+            for i in range(size):
+                total += hashes[i : i + n] * FACTORS[i]
+            kept = np.flatnonzero(wanted)
+            places.append(kept)
+            found.append(mixed(total[kept]))
+            kinds.append(np.full(len(kept), form))
+        return np.concatenate(places), np.concatenate(found), np.concatenate(kinds)
 
+    def values(self, start: int, size: int, form: int) -> list[str]:
+        """Slots of a window in a form: kind and bare lower-case value."""
+        if form == _PLAIN:
+            return []
+        slots = self.slots | self.first_names if form == _FIRST_IS_NAME else self.slots
+        at = start + np.flatnonzero(slots[start : start + size])
+        return [f"{next((k for k, w in self.kinds.items() if w[i]), 'p')}:{_bare(self.words[self.at[i]]).lower()}" for i in at]
 
-_SCHEMA = "size int, pos int, hash bigint, slots array<string>"
+
+_SCHEMA = "size int, pos int, hash bigint, form int, slots array<string>"
 
 
 def _rows(texts: DataFrame, sizes: list[int] | None, table: np.ndarray | None) -> DataFrame:
-    """(id, size, pos, hash, slots, n_words) of the windows of (id, text).
+    """(id, size, pos, hash, form, slots, n_words) of the windows of (id, text).
 
     Without ``sizes`` each text gets windows of WINDOW words or its own length;
     with ``table`` only windows whose hash may be in it.
@@ -124,18 +153,18 @@ def _rows(texts: DataFrame, sizes: list[int] | None, table: np.ndarray | None) -
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], []]
             for i, text in enumerate(batch.column(1)):
                 template = Template(text.as_py(), known)
                 n = len(template.hashes)
                 for size in sizes or ([min(WINDOW, n)] if n else []):
-                    at, hashes = template.windows(size)
+                    at, hashes, forms = template.windows(size)
                     if table is not None:
                         spot = hashes & mask
                         hit = (table[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                        at, hashes = at[hit], hashes[hit]
-                    for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                        for column, value in zip(rows, (i, size, p, h, template.values(p, size), n), strict=True):
+                        at, hashes, forms = at[hit], hashes[hit], forms[hit]
+                    for p, h, f in zip(at.tolist(), hashes.view(np.int64).tolist(), forms.tolist(), strict=True):
+                        for column, value in zip(rows, (i, size, p, h, f, template.values(p, size, f), n), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -143,10 +172,11 @@ def _rows(texts: DataFrame, sizes: list[int] | None, table: np.ndarray | None) -
                     pa.array(rows[1], pa.int32()),
                     pa.array(rows[2], pa.int32()),
                     pa.array(rows[3], pa.int64()),
-                    pa.array(rows[4], pa.list_(pa.string())),
-                    pa.array(rows[5], pa.int32()),
+                    pa.array(rows[4], pa.int32()),
+                    pa.array(rows[5], pa.list_(pa.string())),
+                    pa.array(rows[6], pa.int32()),
                 ],
-                names=["id", "size", "pos", "hash", "slots", "n_words"],
+                names=["id", "size", "pos", "hash", "form", "slots", "n_words"],
             )
 
     return texts.mapInArrow(cut, f"id {kind}, {_SCHEMA}, n_words int")
@@ -163,8 +193,10 @@ def contaminated(
 ) -> DataFrame:
     """(id, item, coverage, exact) for each item found in a document.
 
-    ``coverage`` is the share of the item's template words in consistent windows,
-    ``exact`` whether all slots there hold the item's own values.  Null, empty
+    ``coverage`` is the share of the item's template words in consistent windows:
+    all windows of an alignment whose slots agree; where they do not, those with the
+    item's own values in all slots, if each value that stands for several ones stands
+    for itself as well (one of two equal numbers changed, but not two other names).  ``exact`` is whether all slots there hold the item's own values.  Null, empty
     and wordless texts hold nothing and are held by nothing; rows with a null id
     are not searched.  Repeated rows of one id count as one document, of one item
     id as one item.
@@ -186,17 +218,36 @@ def contaminated(
     owned = docs.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     hits = _rows(owned, sorted(facts.sizes), table).withColumnRenamed("id", "doc").drop("n_words")
     items = cut.select(
-        F.col("id").alias("item"), "size", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "n_words"
+        F.col("id").alias("item"), "size", "hash", F.col("pos").alias("item_pos"), F.col("form").alias("item_form"), F.col("slots").alias("item_slots"), "n_words"
     )
     met = hits.join(sized(items, facts.n or 0), ["size", "hash"])
+    pairs = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
+    places = F.sequence("item_pos", F.expr("item_pos + size - 1"))
+    as_written = (F.col("form") == _AS_WRITTEN) & (F.col("item_form") == _AS_WRITTEN)
+    all_of = lambda values: F.array_distinct(F.flatten(F.collect_list(values)))
     aligned = met.groupBy("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_list(F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))))).alias("pairs"),
-        F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.expr("item_pos + size - 1"))))).alias("places"),
+        all_of(pairs).alias("pairs"),
+        all_of(F.when(as_written, pairs)).alias("written_pairs"),
+        all_of(places).alias("places"),
+        all_of(F.when(as_written, places)).alias("written_places"),
+        all_of(F.when(F.col("item_slots") == F.col("slots"), places)).alias("equal_places"),
         F.max("n_words").alias("n_words"),
     )
-    consistent = aligned.where(F.size("pairs") == F.size(F.array_distinct("pairs.i")))
+    agree = lambda name: F.size(name) == F.size(F.array_distinct(f"{name}.i"))
+    equal = lambda name: F.col(f"{name}.i") == F.col(f"{name}.d")
+    # A verbatim copy with edits: values that stand for several of the document stand for themselves as well.
+    renamed = F.filter("written_pairs", lambda p: ~F.exists("written_pairs", lambda q: (q["i"] == p["i"]) & (q["d"] == p["i"])))
+    edited = F.size(renamed) == F.size(F.array_distinct(F.transform(renamed, lambda p: p["i"])))
+    counted = aligned.select(
+        "doc", "item", "n_words",
+        F.when(agree("pairs"), F.col("places"))
+        .when(agree("written_pairs"), F.array_union("written_places", "equal_places"))
+        .when(edited, F.col("equal_places"))
+        .otherwise(F.slice("places", 1, 0)).alias("places"),
+        F.when(agree("pairs"), equal("pairs")).when(agree("written_pairs"), equal("written_pairs")).otherwise(F.lit(True)).alias("same"),
+    )
     return (
-        consistent.withColumn("same", F.col("pairs.i") == F.col("pairs.d"))
+        counted.where(F.size("places") > 0)
         .groupBy("doc", "item")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_covered"),
