@@ -1,0 +1,57 @@
+"""The library without its optional training-data operators.
+
+The operators of ``textrisk/llm``, their tests and ``corpus_pipeline.py`` may be
+removed; the entry module must still import and register the other queries.
+"""
+
+from __future__ import annotations
+
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parents[1]
+
+_PROBE = """
+import __spark_entry__ as e
+names = set(e.queries())
+assert names and not any(n.startswith("op") or n == "pipeline" for n in names), names
+assert set(e.oracle_sql()) <= names
+print(len(names))
+"""
+
+
+def _copy_without_llm(target: Path, keep_pipeline: bool) -> Path:
+    shutil.copytree(
+        ROOT,
+        target,
+        ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "spark-warehouse"),
+    )
+    shutil.rmtree(target / "textrisk" / "llm")
+    shutil.rmtree(target / "tests" / "llm")
+    if not keep_pipeline:
+        (target / "corpus_pipeline.py").unlink()
+    return target
+
+
+def test_entry_imports_without_llm(tmp_path):
+    for keep in (False, True):  # the driver deletes the pipeline too; a stray one must not break the import
+        copy = _copy_without_llm(tmp_path / f"copy-{keep}", keep)
+        done = subprocess.run(
+            [sys.executable, "-c", _PROBE], cwd=copy, capture_output=True, text=True, timeout=300
+        )
+        assert done.returncode == 0, done.stderr[-2000:]
+        assert int(done.stdout.strip()) > 50
+
+
+def test_registry_tests_pass_without_llm(tmp_path):
+    copy = _copy_without_llm(tmp_path / "copy", False)
+    done = subprocess.run(
+        [sys.executable, "-m", "pytest", "-x", "-q", "-p", "no:cacheprovider", "tests/test_registry.py"],
+        cwd=copy,
+        capture_output=True,
+        text=True,
+        timeout=900,
+    )
+    assert done.returncode == 0, done.stdout[-3000:]
