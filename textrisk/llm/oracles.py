@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from textrisk.llm.licenses import COSINE, NOTICE_SHARE, TEMPLATES
 from textrisk.llm.line_dedup import MIN_PAGES, RATIO
+from textrisk.llm.mix import BLOCK_WORDS, MAX_REPEATS, SEED, SHARD_ROWS, WEIGHTS
 
 _LINE_DEDUP = f"""
 WITH pages AS (SELECT doc_id, coalesce(source, '') AS host, text, row_number() OVER () AS r FROM documents),
@@ -83,4 +84,83 @@ SELECT file AS path, coalesce(license, inherited) AS license,
 FROM judged LEFT JOIN nearest USING (directory)
 """
 
-ORACLES = {"op1_line_dedup": _LINE_DEDUP, "op6_licenses": _LICENSES}
+# Every quotient of every unit is made here, where the operator makes only those near the last seat.
+_MIX = f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+  FROM documents),
+per_source AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows FROM rows GROUP BY source),
+weighted AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid,
+         [{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight,
+         (source_size * {MAX_REPEATS})::DOUBLE AS cap
+  FROM per_source),
+steps AS (
+  SELECT *, sum(source_size) OVER ()::DOUBLE AS total, sum(weight) OVER ()::DOUBLE AS all_w,
+         sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS caps,
+         sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)::DOUBLE AS ws,
+         row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS pos
+  FROM weighted),
+levels AS (SELECT *, (total - (caps - cap)) / (all_w - ws + weight) AS level_before FROM steps),
+first_fit AS (SELECT min(pos) AS first_fit FROM levels WHERE level_before <= cap / weight),
+aimed AS (
+  SELECT l.*, CASE WHEN total = 0 THEN 0.0 WHEN pos < first_fit THEN cap
+                   ELSE weight * (SELECT level_before FROM levels, first_fit WHERE pos = first_fit) END AS target,
+         ((sum(source_size) OVER () + {BLOCK_WORDS // 2}) // {BLOCK_WORDS})::BIGINT AS n_blocks
+  FROM levels l, first_fit),
+source_q AS (
+  SELECT sid, target / (2 * k + 1) AS q, k, n_blocks
+  FROM (SELECT sid, target, n_blocks, unnest(generate_series(0, n_blocks - 1)) AS k FROM aimed WHERE target > 0)),
+source_seats AS (
+  SELECT sid, count(*) AS seats FROM (
+    SELECT *, row_number() OVER (ORDER BY q DESC, sid, k) AS place FROM source_q) WHERE place <= n_blocks GROUP BY sid),
+quotas AS (
+  SELECT a.source, a.sid, a.source_size, a.target,
+         least(coalesce(seats, 0) * {BLOCK_WORDS}, a.source_size * {MAX_REPEATS})::BIGINT AS source_words,
+         ceil(a.n_rows / {SHARD_ROWS})::BIGINT AS n_shards
+  FROM aimed a LEFT JOIN source_seats USING (sid)),
+placed AS (
+  SELECT r.*, q.sid, q.source_size, q.target, q.source_words,
+         ('0x' || substr(md5(concat_ws(':', {SEED}, r.doc_id)), 1, 8))::BIGINT % q.n_shards AS shard,
+         md5(concat_ws(':', {SEED}, q.sid, r.doc_id)) AS key
+  FROM rows r JOIN quotas q ON r.source IS NOT DISTINCT FROM q.source),
+shards AS (SELECT sid, shard, sum(size)::BIGINT AS shard_size, any_value(source_words) AS source_words FROM placed GROUP BY ALL),
+shard_q AS (
+  SELECT sid, shard, shard_size / (2 * k + 1)::DOUBLE AS q, k, source_words
+  FROM (SELECT *, unnest(generate_series(0, source_words - 1)) AS k FROM shards WHERE shard_size > 0)),
+shard_seats AS (
+  SELECT sid, shard, count(*) AS words FROM (
+    SELECT *, row_number() OVER (PARTITION BY sid ORDER BY q DESC, shard, k) AS place FROM shard_q)
+  WHERE place <= source_words GROUP BY ALL),
+shard_quota AS (
+  SELECT s.sid, s.shard, s.shard_size, least(coalesce(words, 0), s.shard_size * {MAX_REPEATS}) AS words
+  FROM shards s LEFT JOIN shard_seats USING (sid, shard)),
+passes AS (
+  SELECT *, CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS passes FROM shard_quota),
+rests AS (SELECT *, words - passes * shard_size AS rest FROM passes),
+blocks AS (
+  SELECT sid, shard, rest, block, least({BLOCK_WORDS}, shard_size - block * {BLOCK_WORDS}) AS len
+  FROM (SELECT *, unnest(generate_series(0, (shard_size - 1) // {BLOCK_WORDS})) AS block FROM rests WHERE rest > 0)),
+chosen AS (
+  SELECT * FROM (
+    SELECT sid, shard, block, least(len, rest - coalesce(sum(len) OVER (
+             PARTITION BY sid, shard ORDER BY md5(concat_ws(':', {SEED}, sid, shard, block)), block
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS take
+    FROM blocks) WHERE take > 0),
+located AS (
+  SELECT p.*, coalesce(sum(size) OVER (PARTITION BY sid, shard ORDER BY key, doc_id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM placed p),
+extras AS (
+  SELECT l.r, sum(greatest(0, least(l.start + l.size, c.block * {BLOCK_WORDS} + c.take)
+                               - greatest(l.start, c.block * {BLOCK_WORDS}))) AS extra
+  FROM located l JOIN chosen c ON l.sid = c.sid AND l.shard = c.shard
+   AND c.block BETWEEN l.start // {BLOCK_WORDS} AND (l.start + l.size - 1) // {BLOCK_WORDS}
+  WHERE l.size > 0 GROUP BY l.r)
+SELECT l.doc_id, l.source, l.size, l.source_size, l.target,
+       (rs.passes * l.size + coalesce(o.extra, 0))::BIGINT AS taken
+FROM located l JOIN rests rs USING (sid, shard) LEFT JOIN extras o USING (r)
+"""
+
+ORACLES = {"op1_line_dedup": _LINE_DEDUP, "op6_licenses": _LICENSES, "op11_mix": _MIX}

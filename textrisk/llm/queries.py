@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrisk.llm import decontaminate, imatch, licenses, line_dedup, minhash, pieces, quality, suffix, toxicity, url_filter
+from textrisk.llm import decontaminate, imatch, licenses, line_dedup, minhash, mix, pieces, quality, suffix, toxicity, url_filter
 from textrisk.llm.labelled import held_out
 
 
@@ -67,6 +67,11 @@ def op10_suffix(spark: SparkSession, sf: str) -> DataFrame:
     return suffix.repeated_passages(_table(spark, sf, "documents"))
 
 
+def op11_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the words that the mix of sources weighted 5, 2, 1 takes of it."""
+    return mix.mix(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,5 +85,6 @@ QUERIES = {
         op8_imatch,
         op9_toxicity,
         op10_suffix,
+        op11_mix,
     )
 }
