@@ -5,6 +5,7 @@ from __future__ import annotations
 from textrisk.llm.licenses import COSINE, NOTICE_SHARE, TEMPLATES
 from textrisk.llm.line_dedup import MIN_PAGES, RATIO
 from textrisk.llm.mix import BLOCK_WORDS, MAX_REPEATS, SEED, SHARD_ROWS, WEIGHTS
+from textrisk.llm.search import IMPACT_SCALE, NORM_BASE, NORM_FACTOR, NORM_SLOPE, TF_SCALE, TOP_K, WEIGHT_SCALE
 
 _LINE_DEDUP = f"""
 WITH pages AS (SELECT doc_id, coalesce(source, '') AS host, text, row_number() OVER () AS r FROM documents),
@@ -163,4 +164,28 @@ SELECT l.doc_id, l.source, l.size, l.source_size, l.target,
 FROM located l JOIN rests rs USING (sid, shard) LEFT JOIN extras o USING (r)
 """
 
-ORACLES = {"op1_line_dedup": _LINE_DEDUP, "op6_licenses": _LICENSES, "op11_mix": _MIX}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS = f"list_transform(regexp_extract_all(coalesce({{0}}, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda t: translate(t, '{_UPPER}', '{_UPPER.lower()}'))"
+
+# Every document is scored for every item that shares a term with it.
+_SEARCH = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("text")} AS terms FROM documents),
+sized AS (SELECT *, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sized),
+postings AS (
+  SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM sized) GROUP BY ALL),
+weights AS (
+  SELECT term, floor({WEIGHT_SCALE} * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings, totals GROUP BY term, big_n),
+items AS (SELECT row_number() OVER () AS ir, item_id, {_TERMS.format("text")} AS terms FROM benchmark),
+item_terms AS (SELECT ir, item_id, unnest(list_distinct(terms)) AS term FROM items),
+scores AS (
+  SELECT ir, item_id, r, doc_id,
+         sum(w * (({IMPACT_SCALE} * tf) // ({TF_SCALE} * tf + {NORM_FACTOR} * ({NORM_BASE - NORM_SLOPE} + ({NORM_SLOPE} * n * big_n) // big_l))))::BIGINT AS score
+  FROM item_terms JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY ir ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= {TOP_K}
+"""
+
+ORACLES = {"op1_line_dedup": _LINE_DEDUP, "op6_licenses": _LICENSES, "op11_mix": _MIX, "op13_search": _SEARCH}
