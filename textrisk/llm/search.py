@@ -12,10 +12,11 @@ The index groups the documents by m (a stratum) and, within a stratum, a term's
 postings by tf, so the impact (10^9 tf) div (1000 tf + 8 m) is computed once for
 each (term, m, tf) and carries a count of documents.  For each query:
 
-1. the strata order the visits: from the counts, the 10th best impact of each
-   query term is known without touching documents; w times it is a score that at
-   least ``k`` documents reach, so the k-th best score is at least the largest of
-   these (the threshold);
+1. the strata order the visits: for each query term its groups are taken by
+   falling impact until they hold ``k`` documents, and ``k`` documents of them
+   (seeds) are scored exactly; the k-th best seed score is one that ``k``
+   documents reach, so the k-th best score of all is at least that (the
+   threshold);
 2. terms whose largest contributions together stay under the threshold cannot
    lift a document into the result on their own; only documents in a (term, m, tf)
    group of the other terms, whose bound (its contribution plus the largest of all
@@ -70,14 +71,29 @@ _IMPACT = f"({IMPACT_SCALE} * tf) div ({TF_SCALE} * tf + {NORM_FACTOR} * m)"
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (row, doc_id, term, m, tf) of the asked terms, the strata
-    (term, m, tf, n_docs) and the corpus counts N and L."""
+    """Postings (_row, doc_id, n, term, tf) of the asked terms, written once, with
+    one row of null term per document that has terms; the corpus counts N and L."""
 
     postings: Stored
-    strata: DataFrame
     n_docs: int
     n_terms: int
 
+    def normaliser(self) -> Column:
+        """m = 10 + (90 n N) div L of a posting's document."""
+        return (F.lit(NORM_BASE - NORM_SLOPE) + F.expr(f"({NORM_SLOPE} * n * {self.n_docs}) div {max(self.n_terms, 1)}")).cast("long")
+
+    def terms(self) -> DataFrame:
+        """(_row, doc_id, m, term, tf)."""
+        return self.postings.table.where(F.col("term").isNotNull()).select(
+            "_row", "doc_id", self.normaliser().alias("m"), "term", "tf"
+        )
+
+    def strata(self) -> DataFrame:
+        """(term, m, tf, n_docs, impact): the documents of a term by normaliser and count."""
+        return (
+            self.terms().groupBy("term", "m", "tf").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("impact", F.expr(_IMPACT))
+        )
+
     def drop(self) -> None:
         self.postings.drop()
 
@@ -85,38 +101,33 @@ class Index:
 def build(docs: DataFrame, vocabulary: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> Index:
     """Index the documents for the terms in ``vocabulary`` (column ``term``).
 
-    N and L count all documents and all their terms; postings are kept only for
-    the asked terms.  The postings are written once to the shared folder.
+    Texts are split once: each document sends its postings of asked terms and one
+    row of its own (null term) that carries n, so N and L come from the written
+    table.  Repeats of a term within a document combine before the shuffle.
     """
-    tokens = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text)).alias("_terms")).select(
-        "doc_id", "_terms", F.size("_terms").cast("long").alias("n")
-    )
-    totals = tokens.agg(
-        F.count_if(F.col("n") > 0).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("L")
-    ).first()
-    n_docs, n_terms = int(totals.N), int(totals.L)
     asked = vocabulary.select("term").distinct()
     counted = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("term")).alias("chars")).first()
-    asked = sized(asked, 48 * counted.n + 4 * (counted.chars or 0))
-    with_m = tokens.where(F.col("n") > 0).withColumns(
-        {
-            "_row": F.monotonically_increasing_id(),
-            "m": (
-                F.lit(NORM_BASE - NORM_SLOPE)
-                + F.expr(f"({NORM_SLOPE} * n * {n_docs}) div {max(n_terms, 1)}")
-            ).cast("long"),
-        }
+    asked = sized(asked.withColumn("_asked", F.lit(True)), 48 * counted.n + 4 * (counted.chars or 0))
+    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _UPPER.lower())
+    tokens = (
+        docs.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(lowered, F.lit(TERM), 0).alias("_terms"))
+        .withColumn("n", F.size("_terms").cast("long"))
+        .where(F.col("n") > 0)
+        .withColumn("_row", F.monotonically_increasing_id())
     )
+    own = F.array(F.lit(None).cast("string"))
+    exploded = tokens.select("_row", "doc_id", "n", F.explode(F.concat("_terms", own)).alias("term"))
+    kept = exploded.join(asked, "term", "left").where(F.col("term").isNull() | F.col("_asked").isNotNull())
     # The row id is fixed when written, so later reads agree on it.
     postings = store(
-        with_m.select("_row", "doc_id", "m", F.explode("_terms").alias("term"))
-        .join(asked, "term", "left_semi")
-        .groupBy("_row", "doc_id", "m", "term")
-        .agg(F.count(F.lit(1)).cast("long").alias("tf")),
-        "search-postings",
+        kept.groupBy("_row", "doc_id", "n", "term").agg(F.count(F.lit(1)).cast("long").alias("tf")), "search-postings"
+    )
+    totals = (
+        postings.table.where(F.col("term").isNull())
+        .agg(F.count(F.lit(1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("L"))
+        .first()
     )
-    strata = postings.table.groupBy("term", "m", "tf").agg(F.count(F.lit(1)).alias("n_docs"))
-    return Index(postings, strata, n_docs, n_terms)
+    return Index(postings, int(totals.N), int(totals.L))
 
 
 def weight(df: Column, n_docs: int) -> Column:
@@ -145,41 +156,65 @@ def search(
     return _rank(build(docs, query_terms, id_col=id_col, text=text), query_terms, k)
 
 
+def _score(pairs: DataFrame, q: DataFrame, postings: DataFrame) -> DataFrame:
+    """Exact scores of (_item, _row) pairs over all the item's terms."""
+    return (
+        pairs.join(q.select("_item", "term", "w"), "_item")
+        .join(postings, ["_row", "term"])
+        .groupBy("_item", "_row")
+        .agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("w") * F.col("impact")).cast("long").alias("score"))
+    )
+
+
 def _rank(index: Index, query_terms: DataFrame, k: int) -> DataFrame:
-    strata = index.strata.withColumn("impact", F.expr(_IMPACT))
-    per_term = Window.partitionBy("term")
-    best_first = per_term.orderBy(F.desc("impact"), "m", "tf")
-    # Per term: df, its weight, its largest impact, and the k-th best impact of its documents.
+    strata = index.strata()
+    postings = index.terms().withColumn("impact", F.expr(_IMPACT))
     term_stats = (
-        strata.withColumns(
-            {
-                "_df": F.sum("n_docs").over(per_term),
-                "_seen": F.sum("n_docs").over(best_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            }
-        )
-        .groupBy("term")
-        .agg(
-            F.first("_df").alias("df"),
-            F.max("impact").alias("top_impact"),
-            F.min_by("impact", F.when(F.col("_seen") >= k, F.col("_seen"))).alias("kth_impact"),
-        )
+        strata.groupBy("term")
+        .agg(F.sum("n_docs").alias("df"), F.max("impact").alias("top_impact"))
         .withColumn("w", weight(F.col("df"), index.n_docs))
     )
-    q = query_terms.join(term_stats, "term").where(F.col("w") > 0)
+    q = query_terms.join(term_stats, "term").where(F.col("w") > 0).withColumn("_upper", F.col("w") * F.col("top_impact"))
+
+    # 1. Seeds: each item term's k best documents, found group by group from the
+    #    strata; the k-th best exact score among them is a score that k documents reach.
+    first_k = postings.withColumn(
+        "_nth", F.row_number().over(Window.partitionBy("term", "m", "tf").orderBy("_row"))
+    ).where(F.col("_nth") <= k)
+    before = F.sum("n_docs").over(
+        Window.partitionBy("_item", "term").orderBy(F.desc("impact"), "m", "tf").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    seed_groups = (
+        q.select("_item", "term").join(strata, "term").withColumn("_before", F.coalesce(before, F.lit(0)))
+        .where(F.col("_before") < k)
+        .select("_item", "term", "m", "tf")
+    )
+    seeds = (
+        seed_groups.join(first_k, ["term", "m", "tf"])
+        .withColumn("_nth", F.row_number().over(Window.partitionBy("_item", "term").orderBy(F.desc("impact"), "_row")))
+        .where(F.col("_nth") <= k)
+        .select("_item", "_row")
+        .distinct()
+    )
+    seed_scores = _score(seeds, q, postings)
+    threshold = (
+        seed_scores.withColumn("_nth", F.row_number().over(Window.partitionBy("_item").orderBy(F.desc("score"), "_row")))
+        .where(F.col("_nth") == k)
+        .select("_item", F.col("score").alias("_threshold"))
+    )
+
+    # 2. Terms whose largest contributions together stay under the threshold are not
+    #    essential; a group of an essential term is visited if its bound reaches it.
     per_item = Window.partitionBy("_item")
-    bounded = q.withColumns(
-        {
-            "_upper": F.col("w") * F.col("top_impact"),
-            "_reached": F.coalesce(F.col("w") * F.col("kth_impact"), F.lit(0)),
-        }
-    ).withColumns(
-        {
-            "_threshold": F.max("_reached").over(per_item),
-            "_all_upper": F.sum("_upper").over(per_item),
-            "_below": F.sum("_upper").over(
-                per_item.orderBy("_upper", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        }
+    bounded = (
+        q.join(threshold, "_item", "left")
+        .withColumn("_threshold", F.coalesce("_threshold", F.lit(0)))
+        .withColumns(
+            {
+                "_all_upper": F.sum("_upper").over(per_item),
+                "_below": F.sum("_upper").over(per_item.orderBy("_upper", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            }
+        )
     )
     essential = bounded.where(F.col("_below") >= F.col("_threshold"))
     groups = (
@@ -188,16 +223,10 @@ def _rank(index: Index, query_terms: DataFrame, k: int) -> DataFrame:
         .where((F.col("_bound") >= F.col("_threshold")) & (F.col("impact") > 0))
         .select("_item", "term", "m", "tf")
     )
-    postings = index.postings.table
-    candidates = groups.join(postings, ["term", "m", "tf"]).select("_item", "_row").distinct()
-    scored = (
-        candidates.join(postings, "_row")
-        .join(q.select("_item", "term", "w"), ["_item", "term"])
-        .withColumn("_part", F.col("w") * F.expr(_IMPACT))
-        .groupBy("_item", "_row")
-        .agg(F.first("doc_id").alias("doc_id"), F.sum("_part").cast("long").alias("score"))
-        .where(F.col("score") > 0)
-    )
+    candidates = groups.join(postings.select("term", "m", "tf", "_row"), ["term", "m", "tf"]).select("_item", "_row").distinct()
+
+    # 3. Exact scores of the candidates, over all terms of the item.
+    scored = _score(candidates, q, postings).where(F.col("score") > 0)
     items = query_terms.select("_item", "item_id").distinct()
     place = Window.partitionBy("_item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "_row")
     return (
