@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrisk.llm import decontaminate, imatch, licenses, line_dedup, minhash, mix, pieces, quality, search, suffix, toxicity, url_filter
+from textrisk.llm import decontaminate, imatch, licenses, line_dedup, minhash, mix, pieces, quality, search, suffix, toxicity, url_filter, whitening
 from textrisk.llm.labelled import held_out
 
 
@@ -72,6 +72,11 @@ def op11_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mix.mix(_table(spark, sf, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Every finite embedding projected on the first four principal components, whitened."""
+    return whitening.whiten(_table(spark, sf, "embeddings"))
+
+
 def op13_search(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best documents of all for each benchmark item."""
     return search.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
@@ -91,6 +96,7 @@ QUERIES = {
         op9_toxicity,
         op10_suffix,
         op11_mix,
+        op12_whitening,
         op13_search,
     )
 }
