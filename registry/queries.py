@@ -27,6 +27,7 @@ from textrisk.operators.features import with_numeric_features, with_tokens
 from textrisk.operators.findings import candidates, explode_spans, with_counts, with_rule_columns, with_spans
 from textrisk.operators.prefix import first_rows, with_position
 from textrisk.plans.analyze import analyze, assess, with_combined_score
+from textrisk.plans.ingest import IngestReport, ingest
 from textrisk.plans.audit import audit_rows, read_audit, run_audit, write_audit
 from textrisk.plans.model import RiskModel, TermVectors, Weights
 from textrisk.plans.train import TrainResult, evaluate, prepare, time_split, train
@@ -148,6 +149,29 @@ def reddit_counters(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.ingest_counters(_reddit(spark, sf))
 
 
+def _ingested(spark: SparkSession, sf: str) -> tuple[str, str, IngestReport]:
+    """The orders as a reddit dump file in the shared folder, ingested in one pass."""
+    dump, output, rejects = (new_path(spark, name) for name in ("reddit-dump", "reddit-records", "reddit-rejects"))
+    reddit_lines(spark, sf).write.text(dump)
+    report = ingest(spark, dump, "reddit", output, rejects=rejects, format="jsonl")
+    return output, rejects, report
+
+
+def ingest_records_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that ``ingest`` wrote, read back from their partitioned files."""
+    output, _, _ = _ingested(spark, sf)
+    return read_records(spark, output)
+
+
+def ingest_counters_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters that ``ingest`` reports, next to the rejects it wrote."""
+    _, rejects, report = _ingested(spark, sf)
+    written = spark.read.parquet(rejects).count()
+    assert written == report.total_skipped, (written, report)
+    row = (report.total_read, report.total_written, report.total_skipped)
+    return spark.createDataFrame([row], "total_read long, total_written long, total_skipped long")
+
+
 def reddit_threads(spark: SparkSession, sf: str) -> DataFrame:
     raw = parse_json_lines(conversation_lines(spark, sf), RAW_FIELDS["reddit"])
     return normalize.accepted(normalize.reddit(raw)).drop("community")
@@ -472,6 +496,8 @@ QUERIES: dict[str, Query] = {
         numeric_features_notes,
         reddit_records,
         reddit_rejects,
+        ingest_records_orders,
+        ingest_counters_orders,
         reddit_counters,
         reddit_threads,
         mastodon_records,

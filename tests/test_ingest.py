@@ -228,3 +228,34 @@ def test_writing_splits_by_partition_with_a_rebalance(spark, tmp_path):
     assert "RebalancePartitions" in plan
     write_records(records, str(tmp_path / "out"))
     assert len(list((tmp_path / "out").rglob("*.parquet"))) == 2
+
+
+def test_ingest_parses_the_dump_once(spark, tmp_path, monkeypatch):
+    """Records, rejects and counters come from the staged files: the dump may be
+    gone once they are written, and the stage is deleted after."""
+    import textrisk.plans.ingest as plan
+
+    path = write_lines(tmp_path / "r.jsonl", [*REDDIT, "{broken", {"id": "x9", "author": "a"}])
+    staged_paths = []
+    original_stage, original_write = plan.stage, plan.write_records
+
+    def stage_and_remove(labelled):
+        staged = original_stage(labelled)
+        staged_paths.append(staged.path)
+        Path(path).unlink()  # any later scan of the dump would fail
+        return staged
+
+    monkeypatch.setattr(plan, "stage", stage_and_remove)
+    rejects = str(tmp_path / "rejects")
+    report = plan.ingest(spark, path, "reddit", str(tmp_path / "out"), rejects=rejects)
+    assert report == IngestReport(6, 4, 2)
+    assert read_records(spark, str(tmp_path / "out")).count() == 4
+    assert sorted(r.reject_reason for r in spark.read.parquet(rejects).collect()) == ["malformed", "missing created_at"]
+    assert "_status" not in spark.read.parquet(rejects).columns
+    assert staged_paths and not Path(staged_paths[0]).exists()
+    assert original_write is plan.write_records
+
+
+def test_staged_counters_of_an_empty_dump(spark, tmp_path):
+    path = write_lines(tmp_path / "e.jsonl", ["", "  "])
+    assert ingest_reddit(spark, path, str(tmp_path / "out")) == IngestReport(0, 0, 0)

@@ -5,10 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from textrisk.operators.normalize import NORMALIZERS, accepted, ingest_counters, rejected
+from textrisk.operators.normalize import NORMALIZERS
+from textrisk.schema import PARTITION_COLUMNS
 from textrisk.sources.raw import read_raw
 from textrisk.sources.records import write_records
+from textrisk.storage import Stored, new_path
+
+#: Partition column of the staged rows: ``accepted`` or ``rejected``.
+STATUS = "_status"
 
 
 @dataclass(frozen=True)
@@ -24,6 +31,34 @@ def normalize_dump(spark: SparkSession, path: str, platform: str, **options) ->
     return NORMALIZERS[platform](read_raw(spark, path, platform, **options))
 
 
+def stage(labelled: DataFrame) -> Stored:
+    """Write every labelled row once to the shared folder, partitioned by
+    ``STATUS``; the raw dump is parsed by this one job only.
+
+    A rebalance by status and record partition keeps the files few and cuts a
+    month with a large share of the rows into pieces of normal size.
+    """
+    spark = labelled.sparkSession
+    path = new_path(spark, "ingest")
+    status = F.when(F.col("reject_reason").isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
+    (
+        labelled.withColumn(STATUS, status)
+        .hint("rebalance", STATUS, *PARTITION_COLUMNS)
+        .write.partitionBy(STATUS)
+        .parquet(path)
+    )
+    schema = StructType([*labelled.schema.fields, StructField(STATUS, StringType())])
+    return Stored(spark.read.schema(schema).parquet(path), path)
+
+
+def staged_counters(staged: DataFrame) -> IngestReport:
+    """Counters of the committed files: rows per status partition, exact also when
+    lost executors made tasks run again."""
+    counts = {row[STATUS]: row["n"] for row in staged.groupBy(STATUS).agg(F.count(F.lit(1)).alias("n")).collect()}
+    good, bad = counts.get("accepted", 0), counts.get("rejected", 0)
+    return IngestReport(good + bad, good, bad)
+
+
 def ingest(
     spark: SparkSession,
     path: str,
@@ -36,16 +71,19 @@ def ingest(
 ) -> IngestReport:
     """Write the good rows as records, and the others to ``rejects`` if given.
 
-    The counters come from a job of their own over the few fields that decide
-    about rejection.  Counting inside the write job would be cheaper but counts
-    rows twice when a lost executor makes tasks run again.
+    The dump is parsed once: every row, with its reject reason, is staged in the
+    shared folder by status; records, rejects and counters are read from the
+    staged files (each by its partition only) and the stage is deleted after.
     """
-    labelled = normalize_dump(spark, path, platform, **options)
-    write_records(accepted(labelled), output, mode=mode)
-    if rejects is not None:
-        rejected(labelled).write.mode(mode).parquet(rejects)
-    row = ingest_counters(labelled).first()
-    return IngestReport(row["total_read"], row["total_written"], row["total_skipped"])
+    staged = stage(normalize_dump(spark, path, platform, **options))
+    try:
+        table = staged.table
+        write_records(table.where(F.col(STATUS) == "accepted"), output, mode=mode)
+        if rejects is not None:
+            table.where(F.col(STATUS) == "rejected").drop(STATUS).write.mode(mode).parquet(rejects)
+        return staged_counters(table)
+    finally:
+        staged.drop()
 
 
 def ingest_reddit(spark: SparkSession, path: str, output: str, **options) -> IngestReport:
