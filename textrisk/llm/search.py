@@ -8,42 +8,44 @@ w = floor(1000 ln((2N + 2) / (2 df + 1))) and a document has the normaliser
 m = 10 + (90 n N) div L.  A query's score for a document sums, over the query's
 distinct terms, w * ((10^9 tf) div (1000 tf + 8 m)); all in 64-bit integers.
 
-The index groups the documents by m (a stratum) and, within a stratum, a term's
-postings by tf, so the impact (10^9 tf) div (1000 tf + 8 m) is computed once for
-each (term, m, tf) and carries a count of documents.  For each query:
-
-1. the strata order the visits: for each query term its groups are taken by
-   falling impact until they hold ``k`` documents, and ``k`` documents of them
-   (seeds) are scored exactly; the k-th best seed score is one that ``k``
-   documents reach, so the k-th best score of all is at least that (the
-   threshold);
-2. terms whose largest contributions together stay under the threshold cannot
-   lift a document into the result on their own; only documents in a (term, m, tf)
-   group of the other terms, whose bound (its contribution plus the largest of all
-   other terms) reaches the threshold, are candidates;
-3. candidates are scored exactly with all query terms and ranked.
+Two passes over the documents:
+
+1. Spark counts N, L and the df of every query term: each document sends its
+   distinct terms once, joined to the query terms by a broadcast of counted size,
+   and one row of its own that carries n; the counts combine before the shuffle,
+   so a very common term sends one row per task.
+2. Each task indexes its own documents: it groups them by m (a stratum), lists
+   the postings of query terms by tf within a stratum and computes the impact
+   (10^9 tf) div (1000 tf + 8 m) once per (m, tf).  Strata are visited by falling
+   bound (per query, its weights times the largest impact of each term in the
+   stratum); a stratum whose bound stays under every query's k-th best score so
+   far is skipped whole, the others are scored exactly as one matrix product
+   (integers far below 2^53, so exact in doubles).  A task sends only its ``k``
+   best documents per query; Spark ranks those.
 
 No document that can reach the top ``k`` is skipped, so the result equals scoring
-every document.  Only postings of terms that some query holds are made, and every
-join is by term or document, so a very common term is spread over many tasks.
+every document, and nothing grows with queries times documents.  Queries are
+taken in blocks of ``QUERY_BLOCK``, one pass 2 per block.
 
 Defined results: null and empty texts have no terms and are never returned; a null
 query text finds nothing; queries and documents are rows, so repeated rows are
-ranked each (equal documents get equal scores and adjacent ranks, by doc_id, then
-arbitrary); equal scores rank by ascending doc_id, nulls last; documents with score
-0 are never returned; other columns of the inputs are ignored; an empty table gives
-an empty result.
+ranked each (equal documents get equal scores and adjacent ranks); equal scores
+rank by ascending doc_id, nulls last; documents with score 0 are never returned;
+other columns of the inputs are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textrisk.llm.common import sized
-from textrisk.storage import Stored, store
 
 #: Fixed values of the contract: the term pattern and the constants of the score.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -55,84 +57,136 @@ NORM_BASE = 100
 NORM_SLOPE = 90
 #: Documents returned per query.
 TOP_K = 10
+#: Parameters: queries per pass over the documents, documents per scored block.
+QUERY_BLOCK = 2000
+DOC_BLOCK = 512
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER_ASCII = str.maketrans(_UPPER, _UPPER.lower())
+_TERM_RE = re.compile(TERM)
 
 
 def terms(text: Column) -> Column:
     """The terms of a text, in order, with repeats; none for null."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), 0)
-    return F.transform(found, lambda t: F.translate(t, _UPPER, _UPPER.lower()))
-
-
-#: The impact of a posting, computed once per (term, m, tf).
-_IMPACT = f"({IMPACT_SCALE} * tf) div ({TF_SCALE} * tf + {NORM_FACTOR} * m)"
-
-
-@dataclass(frozen=True)
-class Index:
-    """Postings (_row, doc_id, n, term, tf) of the asked terms, written once, with
-    one row of null term per document that has terms; the corpus counts N and L."""
-
-    postings: Stored
-    n_docs: int
-    n_terms: int
-
-    def normaliser(self) -> Column:
-        """m = 10 + (90 n N) div L of a posting's document."""
-        return (F.lit(NORM_BASE - NORM_SLOPE) + F.expr(f"({NORM_SLOPE} * n * {self.n_docs}) div {max(self.n_terms, 1)}")).cast("long")
-
-    def terms(self) -> DataFrame:
-        """(_row, doc_id, m, term, tf)."""
-        return self.postings.table.where(F.col("term").isNotNull()).select(
-            "_row", "doc_id", self.normaliser().alias("m"), "term", "tf"
-        )
-
-    def strata(self) -> DataFrame:
-        """(term, m, tf, n_docs, impact): the documents of a term by normaliser and count."""
-        return (
-            self.terms().groupBy("term", "m", "tf").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("impact", F.expr(_IMPACT))
-        )
-
-    def drop(self) -> None:
-        self.postings.drop()
-
-
-def build(docs: DataFrame, vocabulary: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> Index:
-    """Index the documents for the terms in ``vocabulary`` (column ``term``).
-
-    Texts are split once: each document sends its postings of asked terms and one
-    row of its own (null term) that carries n, so N and L come from the written
-    table.  Repeats of a term within a document combine before the shuffle.
-    """
-    asked = vocabulary.select("term").distinct()
-    counted = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("term")).alias("chars")).first()
-    asked = sized(asked.withColumn("_asked", F.lit(True)), 48 * counted.n + 4 * (counted.chars or 0))
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _UPPER.lower())
-    tokens = (
-        docs.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(lowered, F.lit(TERM), 0).alias("_terms"))
-        .withColumn("n", F.size("_terms").cast("long"))
-        .where(F.col("n") > 0)
-        .withColumn("_row", F.monotonically_increasing_id())
-    )
-    own = F.array(F.lit(None).cast("string"))
-    exploded = tokens.select("_row", "doc_id", "n", F.explode(F.concat("_terms", own)).alias("term"))
-    kept = exploded.join(asked, "term", "left").where(F.col("term").isNull() | F.col("_asked").isNotNull())
-    # The row id is fixed when written, so later reads agree on it.
-    postings = store(
-        kept.groupBy("_row", "doc_id", "n", "term").agg(F.count(F.lit(1)).cast("long").alias("tf")), "search-postings"
-    )
-    totals = (
-        postings.table.where(F.col("term").isNull())
-        .agg(F.count(F.lit(1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("L"))
-        .first()
-    )
-    return Index(postings, int(totals.N), int(totals.L))
+    lowered = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
+    return F.regexp_extract_all(lowered, F.lit(TERM), 0)
+
+
+def text_terms(text: str | None) -> list[str]:
+    """The same terms in Python."""
+    return _TERM_RE.findall(text.translate(_LOWER_ASCII)) if text else []
 
 
-def weight(df: Column, n_docs: int) -> Column:
+def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return (IMPACT_SCALE * tf) // (TF_SCALE * tf + NORM_FACTOR * m)
+
+
+def weight(df: int, n_docs: int) -> int:
     """floor(1000 ln((2N + 2) / (2 df + 1))), in doubles."""
-    return F.floor(F.lit(float(WEIGHT_SCALE)) * F.log((2.0 * n_docs + 2.0) / (2.0 * df.cast("double") + 1.0))).cast("long")
+    return int(np.floor(WEIGHT_SCALE * np.log((2.0 * n_docs + 2.0) / (2.0 * df + 1.0))))
+
+
+def corpus_counts(docs: DataFrame, asked: DataFrame, text: str = "text") -> tuple[int, int, dict[str, int]]:
+    """N, L and the df of the asked terms (column ``term``), in one pass."""
+    vocabulary = asked.select("term").distinct().withColumn("_asked", F.lit(True))
+    counted = vocabulary.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("term")).alias("chars")).first()
+    vocabulary = sized(vocabulary, 48 * counted.n + 4 * (counted.chars or 0))
+    found = docs.select(terms(F.col(text)).alias("_terms")).select(F.size("_terms").cast("long").alias("n"), "_terms")
+    own = F.array(F.lit(None).cast("string"))
+    rows = found.where(F.col("n") > 0).select("n", F.explode(F.concat(F.array_distinct("_terms"), own)).alias("term"))
+    kept = rows.join(vocabulary, "term", "left").where(F.col("term").isNull() | F.col("_asked").isNotNull())
+    counts = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("l")).collect()
+    n_docs, n_terms, df = 0, 0, {}
+    for row in counts:
+        if row.term is None:
+            n_docs, n_terms = int(row.df), int(row.l)
+        else:
+            df[row.term] = int(row.df)
+    return n_docs, n_terms, df
+
+
+class _Best:
+    """The k best (score, doc) of each query so far, in the order of the result."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
+        self.score = np.zeros((n_queries, 0), dtype=np.int64)
+        self.null = np.zeros((n_queries, 0), dtype=bool)
+        self.ids = np.zeros((n_queries, 0), dtype=np.int64)
+
+    def floor(self) -> np.ndarray:
+        """Per query the k-th best score, or 0 while fewer are known."""
+        if self.score.shape[1] < self.k:
+            return np.zeros(self.score.shape[0], dtype=np.int64)
+        return self.score[:, self.k - 1]
+
+    def add(self, scores: np.ndarray, null: np.ndarray, ids: np.ndarray) -> None:
+        """Merge a block of documents: ``scores`` (queries x documents)."""
+        n_docs = scores.shape[1]
+        score = np.concatenate([self.score, scores], axis=1)
+        nulls = np.concatenate([self.null, np.broadcast_to(null, (len(score), n_docs))], axis=1)
+        doc = np.concatenate([self.ids, np.broadcast_to(ids, (len(score), n_docs))], axis=1)
+        # Falling score, then ascending id with nulls last.
+        order = np.lexsort((doc, nulls, -score), axis=1)[:, : self.k]
+        self.score = np.take_along_axis(score, order, axis=1)
+        self.null = np.take_along_axis(nulls, order, axis=1)
+        self.ids = np.take_along_axis(doc, order, axis=1)
+
+
+def _scan(texts: pd.Series, ids: pd.Series, vocabulary: dict, weights: np.ndarray, n_docs: int, n_terms: int, best: _Best) -> None:
+    """Score one block of documents, stratum by stratum."""
+    lists = [text_terms(t) for t in texts]
+    n = np.array([len(t) for t in lists], dtype=np.int64)
+    m = NORM_BASE - NORM_SLOPE + (NORM_SLOPE * n * n_docs) // max(n_terms, 1)
+    doc, vid, tf = [], [], []
+    for i, found in enumerate(lists):
+        for term, count in Counter(t for t in found if t in vocabulary).items():
+            doc.append(i)
+            vid.append(vocabulary[term])
+            tf.append(count)
+    if not doc:
+        return
+    doc, vid, tf = np.array(doc), np.array(vid), np.array(tf, dtype=np.int64)
+    post_m = m[doc]
+    # Impacts once per (m, tf).
+    pairs, back = np.unique(np.stack([post_m, tf]), axis=1, return_inverse=True)
+    impacts = impact(pairs[1], pairs[0])[back.ravel()].astype(np.float64)
+    null = ids.isna().to_numpy()
+    id_values = ids.fillna(0).astype(np.int64).to_numpy()
+    strata = np.unique(post_m)
+    # Bound of a stratum for each query: weights times the largest impact of each term in it.
+    bounds = []
+    for s in strata:
+        inside = post_m == s
+        terms_in, where = np.unique(vid[inside], return_inverse=True)
+        top = np.zeros(len(terms_in))
+        np.maximum.at(top, where, impacts[inside])
+        bounds.append(top @ weights[terms_in])
+    for idx in np.argsort([-b.max() for b in bounds], kind="stable"):
+        if np.all(bounds[idx] < best.floor()):
+            continue
+        inside = post_m == strata[idx]
+        docs_in, rows = np.unique(doc[inside], return_inverse=True)
+        terms_in, cols = np.unique(vid[inside], return_inverse=True)
+        block = np.zeros((len(docs_in), len(terms_in)))
+        block[rows, cols] = impacts[inside]
+        scores = np.rint(block @ weights[terms_in]).astype(np.int64).T  # queries x documents
+        best.add(scores, null[docs_in], id_values[docs_in])
+
+
+def _scorer(vocabulary: dict, weights: np.ndarray, query_ids: np.ndarray, n_docs: int, n_terms: int, k: int):
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = _Best(len(query_ids), k)
+        for batch in batches:
+            for start in range(0, len(batch), DOC_BLOCK):
+                part = batch.iloc[start : start + DOC_BLOCK]
+                _scan(part["text"], part["doc_id"], vocabulary, weights, n_docs, n_terms, best)
+        q, j = np.nonzero(best.score > 0)
+        ids = pd.array(best.ids[q, j], dtype="Int64")
+        ids[best.null[q, j]] = pd.NA
+        yield pd.DataFrame({"_item": query_ids[q], "doc_id": ids, "score": best.score[q, j]})
+
+    return score
 
 
 def search(
@@ -147,91 +201,38 @@ def search(
 ) -> DataFrame:
     """Rows (item_id, rank, doc_id, score): each query's ``k`` best documents with
     a score above 0, best first."""
-    asked = queries.select(F.col(query_id).alias("item_id"), terms(F.col(query_text)).alias("_terms")).withColumn(
-        "_item", F.monotonically_increasing_id()
-    )
-    # Written once, so that the row ids are fixed.
-    asked = store(asked, "search-queries").table
-    query_terms = asked.select("_item", "item_id", F.explode(F.array_distinct("_terms")).alias("term"))
-    return _rank(build(docs, query_terms, id_col=id_col, text=text), query_terms, k)
-
-
-def _score(pairs: DataFrame, q: DataFrame, postings: DataFrame) -> DataFrame:
-    """Exact scores of (_item, _row) pairs over all the item's terms."""
-    return (
-        pairs.join(q.select("_item", "term", "w"), "_item")
-        .join(postings, ["_row", "term"])
-        .groupBy("_item", "_row")
-        .agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("w") * F.col("impact")).cast("long").alias("score"))
-    )
-
-
-def _rank(index: Index, query_terms: DataFrame, k: int) -> DataFrame:
-    strata = index.strata()
-    postings = index.terms().withColumn("impact", F.expr(_IMPACT))
-    term_stats = (
-        strata.groupBy("term")
-        .agg(F.sum("n_docs").alias("df"), F.max("impact").alias("top_impact"))
-        .withColumn("w", weight(F.col("df"), index.n_docs))
-    )
-    q = query_terms.join(term_stats, "term").where(F.col("w") > 0).withColumn("_upper", F.col("w") * F.col("top_impact"))
-
-    # 1. Seeds: each item term's k best documents, found group by group from the
-    #    strata; the k-th best exact score among them is a score that k documents reach.
-    first_k = postings.withColumn(
-        "_nth", F.row_number().over(Window.partitionBy("term", "m", "tf").orderBy("_row"))
-    ).where(F.col("_nth") <= k)
-    before = F.sum("n_docs").over(
-        Window.partitionBy("_item", "term").orderBy(F.desc("impact"), "m", "tf").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    seed_groups = (
-        q.select("_item", "term").join(strata, "term").withColumn("_before", F.coalesce(before, F.lit(0)))
-        .where(F.col("_before") < k)
-        .select("_item", "term", "m", "tf")
-    )
-    seeds = (
-        seed_groups.join(first_k, ["term", "m", "tf"])
-        .withColumn("_nth", F.row_number().over(Window.partitionBy("_item", "term").orderBy(F.desc("impact"), "_row")))
-        .where(F.col("_nth") <= k)
-        .select("_item", "_row")
-        .distinct()
-    )
-    seed_scores = _score(seeds, q, postings)
-    threshold = (
-        seed_scores.withColumn("_nth", F.row_number().over(Window.partitionBy("_item").orderBy(F.desc("score"), "_row")))
-        .where(F.col("_nth") == k)
-        .select("_item", F.col("score").alias("_threshold"))
-    )
-
-    # 2. Terms whose largest contributions together stay under the threshold are not
-    #    essential; a group of an essential term is visited if its bound reaches it.
-    per_item = Window.partitionBy("_item")
-    bounded = (
-        q.join(threshold, "_item", "left")
-        .withColumn("_threshold", F.coalesce("_threshold", F.lit(0)))
-        .withColumns(
-            {
-                "_all_upper": F.sum("_upper").over(per_item),
-                "_below": F.sum("_upper").over(per_item.orderBy("_upper", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            }
-        )
-    )
-    essential = bounded.where(F.col("_below") >= F.col("_threshold"))
-    groups = (
-        essential.join(strata, "term")
-        .withColumn("_bound", F.col("w") * F.col("impact") + F.col("_all_upper") - F.col("_upper"))
-        .where((F.col("_bound") >= F.col("_threshold")) & (F.col("impact") > 0))
-        .select("_item", "term", "m", "tf")
-    )
-    candidates = groups.join(postings.select("term", "m", "tf", "_row"), ["term", "m", "tf"]).select("_item", "_row").distinct()
-
-    # 3. Exact scores of the candidates, over all terms of the item.
-    scored = _score(candidates, q, postings).where(F.col("score") > 0)
-    items = query_terms.select("_item", "item_id").distinct()
-    place = Window.partitionBy("_item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "_row")
-    return (
-        scored.withColumn("rank", F.row_number().over(place))
-        .where(F.col("rank") <= k)
-        .join(items, "_item")
-        .select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    spark = docs.sparkSession
+    schema = "item_id long, rank int, doc_id long, score long"
+    asked = queries.select(
+        F.col(query_id).cast("long").alias("item_id"), F.array_distinct(terms(F.col(query_text))).alias("_terms")
     )
+    # A stated query set: its terms come to the driver, a block at a time.
+    items = asked.collect()
+    if not items:
+        return spark.createDataFrame([], schema)
+    pages = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    term_rows = spark.createDataFrame([(t,) for row in items for t in row._terms], "term string")
+    n_docs, n_terms, df = corpus_counts(pages, term_rows)
+    results = []
+    for first in range(0, len(items), QUERY_BLOCK):
+        block = items[first : first + QUERY_BLOCK]
+        vocabulary: dict[str, int] = {}
+        for row in block:
+            for t in row._terms:
+                if t in df and weight(df[t], n_docs) > 0:
+                    vocabulary.setdefault(t, len(vocabulary))
+        weights = np.zeros((len(vocabulary), len(block)))
+        for j, row in enumerate(block):
+            for t in row._terms:
+                if t in vocabulary:
+                    weights[vocabulary[t], j] = weight(df[t], n_docs)
+        query_ids = np.arange(first, first + len(block))
+        scorer = _scorer(vocabulary, weights, query_ids, n_docs, n_terms, k)
+        results.append(pages.mapInPandas(scorer, "_item long, doc_id long, score long"))
+    local = results[0]
+    for more in results[1:]:
+        local = local.unionByName(more)
+    place = Window.partitionBy("_item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    ranked = local.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    names = spark.createDataFrame([(i, row.item_id) for i, row in enumerate(items)], "_item long, item_id long")
+    return ranked.join(F.broadcast(names), "_item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
