@@ -70,3 +70,28 @@ def test_time_split_errors(spark):
     one = spark.createDataFrame([("a", "2024", "t")], "record_id string, created_at string, text string")
     with pytest.raises(ValueError, match="Too few records"):
         time_split(one)
+
+
+def test_first_rows_of_parquet_do_not_depend_on_splits(spark, tmp_path):
+    """Row indexes of Parquet files give the same first rows however files are cut."""
+    import pandas as pd
+
+    from textrisk.operators.prefix import first_rows, with_position
+
+    folder = tmp_path / "t"
+    folder.mkdir()
+    ids = iter(range(10_000))
+    for f in range(3):
+        frame = pd.DataFrame({"id": [next(ids) for _ in range(1500)], "pad": ["x" * 200] * 1500})
+        frame.to_parquet(folder / f"part-{f}.parquet", row_group_size=100)
+    expected = list(range(4500))
+    for split in ("16k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            df = spark.read.parquet(str(folder))
+            assert df.rdd.getNumPartitions() > 1 or split == "128m"
+            for n in (0, 1, 99, 1500, 1501, 3333, 4500, 5000):
+                got = sorted(r.id for r in first_rows(with_position(df), n).collect())
+                assert got == expected[:n]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +36,31 @@ def _group_reaching(groups: DataFrame, keys: Sequence[str], n: int) -> tuple | N
     return tuple(reached[k] for k in keys), int(reached["before"]), int(reached["n_rows"])
 
 
+def _row_index_of(rows: DataFrame) -> Column | None:
+    """The row's index in its file where the source keeps one (Parquet)."""
+    try:
+        rows.select(F.col("_metadata.row_index")).schema
+    except AnalysisException:
+        return None
+    return F.col("_metadata.row_index")
+
+
 def with_position(rows: DataFrame) -> DataFrame:
-    """Add where each row of a file scan stands: file, block, row within the task."""
+    """Add where each row of a file scan stands.
+
+    For Parquet: the file and the row's index in it, which do not depend on how
+    Spark cuts the files into tasks.  For other sources: the file, the block of
+    the task and the row within the task.
+    """
     path, block, row = ROW_ORDER
+    index = _row_index_of(rows)
+    if index is not None:
+        return rows.select(
+            "*",
+            F.col("_metadata.file_path").alias(path),
+            F.lit(0).cast("long").alias(block),
+            index.alias(row, metadata={"row_index": True}),
+        )
     return rows.select(
         "*",
         F.col("_metadata.file_path").alias(path),
@@ -53,6 +76,8 @@ def first_rows(rows: DataFrame, n: int) -> DataFrame:
     block is what one task reads.
     """
     path, block, row = ROW_ORDER
+    if rows.schema[row].metadata.get("row_index"):
+        return _first_rows_by_index(rows, n)
     # Both passes must meet the same blocks.  How Spark cuts files into blocks depends
     # on the number of cores, which on a cluster changes with its executors; there the
     # positions are fixed by storing them with the rows.
@@ -78,6 +103,22 @@ def first_rows(rows: DataFrame, n: int) -> DataFrame:
     return head.unionByName(tail.drop("_n", *ROW_ORDER))
 
 
+def _first_rows_by_index(rows: DataFrame, n: int) -> DataFrame:
+    """``first_rows`` where each row has its index in its file: rows are counted
+    per file, and of the file in which row ``n`` lies those below an index are kept."""
+    path, _, row = ROW_ORDER
+    plain = rows.drop(*ROW_ORDER)
+    if n <= 0:
+        return plain.limit(0)
+    sizes = rows.groupBy(path).agg(F.count(F.lit(1)).alias("n_rows"))
+    found = _group_reaching(sizes, (path,), n)
+    if found is None:
+        return plain
+    (last_path,), before, _ = found
+    keep = (F.col(path) < last_path) | ((F.col(path) == last_path) & (F.col(row) < n - before))
+    return rows.filter(keep).drop(*ROW_ORDER)
+
+
 def _slices(digest: Column) -> list[Column]:
     """Ever finer groups by a hexadecimal digest, a few thousand per group."""
     return [F.substring(digest, 1, 3), F.substring(digest, 1, 6), digest]
