@@ -259,3 +259,35 @@ def test_ingest_parses_the_dump_once(spark, tmp_path, monkeypatch):
 def test_staged_counters_of_an_empty_dump(spark, tmp_path):
     path = write_lines(tmp_path / "e.jsonl", ["", "  "])
     assert ingest_reddit(spark, path, str(tmp_path / "out")) == IngestReport(0, 0, 0)
+
+
+def test_csv_with_breaks_in_cells_is_read_by_many_tasks(spark, tmp_path):
+    """Records over several lines, also across block boundaries, equal Spark's multiLine reader."""
+    import random
+
+    from textrisk.sources.raw import csv_records
+
+    rnd = random.Random(3)
+    lines = ["id,created_utc,body"]
+    for i in range(3000):
+        body = rnd.choice(["plain", '"two\nlines"', '"say ""hi""\n\nthen, go"', '""', '"a\n""b""\nc\n"', "x" * rnd.randint(0, 300)])
+        lines.append(f"{i},{1700000000 + i},{body}")
+        if i % 500 == 7:
+            lines.append("")  # a blank line outside quotes is no record
+    path = tmp_path / "big.csv"
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        records = csv_records(spark, str(path))
+        assert records.rdd.getNumPartitions() > 1
+        assert spark.read.text(str(path)).rdd.getNumPartitions() >= 10
+        got = {r.id: r.body for r in read_raw(spark, str(path), "reddit").collect()}
+        want = {
+            r.id: r.body
+            for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(path)).collect()
+        }
+        assert len(got) == 3000 and got == {k: v if v is not None else "" for k, v in want.items()}
+        first = read_raw(spark, str(path), "reddit", max_rows=40).collect()
+        assert sorted(int(r.id) for r in first) == list(range(40))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
