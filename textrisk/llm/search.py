@@ -10,10 +10,9 @@ distinct terms, w * ((10^9 tf) div (1000 tf + 8 m)); all in 64-bit integers.
 
 Two passes over the documents:
 
-1. Spark counts N, L and the df of every query term: each document sends its
-   distinct terms once, joined to the query terms by a broadcast of counted size,
-   and one row of its own that carries n; the counts combine before the shuffle,
-   so a very common term sends one row per task.
+1. N, L and the df of every query term: each task counts its own documents and
+   sends one row per query term it met and one with its N and L; Spark adds them
+   up, so a very common term sends one row per task.
 2. Each task indexes its own documents: it groups them by m (a stratum), lists
    the postings of query terms by tf within a stratum and computes the impact
    (10^9 tf) div (1000 tf + 8 m) once per (m, tf).  Strata are visited by falling
@@ -45,8 +44,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textrisk.llm.common import sized
-
 #: Fixed values of the contract: the term pattern and the constants of the score.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WEIGHT_SCALE = 1000
@@ -86,16 +83,29 @@ def weight(df: int, n_docs: int) -> int:
     return int(np.floor(WEIGHT_SCALE * np.log((2.0 * n_docs + 2.0) / (2.0 * df + 1.0))))
 
 
-def corpus_counts(docs: DataFrame, asked: DataFrame, text: str = "text") -> tuple[int, int, dict[str, int]]:
-    """N, L and the df of the asked terms (column ``term``), in one pass."""
-    vocabulary = asked.select("term").distinct().withColumn("_asked", F.lit(True))
-    counted = vocabulary.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("term")).alias("chars")).first()
-    vocabulary = sized(vocabulary, 48 * counted.n + 4 * (counted.chars or 0))
-    found = docs.select(terms(F.col(text)).alias("_terms")).select(F.size("_terms").cast("long").alias("n"), "_terms")
-    own = F.array(F.lit(None).cast("string"))
-    rows = found.where(F.col("n") > 0).select("n", F.explode(F.concat(F.array_distinct("_terms"), own)).alias("term"))
-    kept = rows.join(vocabulary, "term", "left").where(F.col("term").isNull() | F.col("_asked").isNotNull())
-    counts = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("l")).collect()
+def _counter(vocabulary: frozenset):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df: Counter = Counter()
+        n_docs = n_terms = 0
+        for batch in batches:
+            for text in batch["text"]:
+                found = text_terms(text)
+                if found:
+                    n_docs += 1
+                    n_terms += len(found)
+                    df.update(vocabulary.intersection(found))
+        terms_ = [None, *df]
+        yield pd.DataFrame({"term": terms_, "df": [n_docs, *df.values()], "l": [n_terms, *([0] * len(df))]})
+
+    return count
+
+
+def corpus_counts(docs: DataFrame, asked: list[str], text: str = "text") -> tuple[int, int, dict[str, int]]:
+    """N, L and the df of the ``asked`` terms, in one pass: each task counts its
+    documents and sends one row per asked term it met and one (null term) with
+    its N and L; Spark adds them up."""
+    parts = docs.select(F.col(text).alias("text")).mapInPandas(_counter(frozenset(asked)), "term string, df long, l long")
+    counts = parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("l").alias("l")).collect()
     n_docs, n_terms, df = 0, 0, {}
     for row in counts:
         if row.term is None:
@@ -211,8 +221,7 @@ def search(
     if not items:
         return spark.createDataFrame([], schema)
     pages = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    term_rows = spark.createDataFrame([(t,) for row in items for t in row._terms], "term string")
-    n_docs, n_terms, df = corpus_counts(pages, term_rows)
+    n_docs, n_terms, df = corpus_counts(pages, sorted({t for row in items for t in row._terms}))
     results = []
     for first in range(0, len(items), QUERY_BLOCK):
         block = items[first : first + QUERY_BLOCK]
