@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -22,8 +21,6 @@ def spark():
         # Results must not depend on the session's time zone.
         .config("spark.sql.session.timeZone", "America/New_York")
         .config("spark.ui.enabled", "false")
-        # Tests run on one machine, so a temporary folder is the shared one.
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="textrisk-tests-"))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
