@@ -155,11 +155,16 @@ def mix(
     """Rows (doc_id, source, size, source_size, target, taken): ``taken`` words of
     the document are in the mix, repeats counted; never more than ``MAX_REPEATS``
     times its size."""
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
+    # Texts are read once: the sizes are written to the shared folder, and every
+    # later step reads the three small columns.
+    rows = compact(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.col(source).cast("string").alias("source"),
+            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        ),
+        "mix-sizes",
+    ).table
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     everything = Window.partitionBy(F.lit(1))
     # One row per source: sources get a number in code point order, so that later
