@@ -255,7 +255,8 @@ def mix(
             )
         ),
     )
-    picked = spans.join(chosen, ["_sid", "_shard", "_block"], "left")
+    # The chosen blocks grow with the words; they are joined by a shuffle, never broadcast.
+    picked = spans.join(chosen.hint("merge"), ["_sid", "_shard", "_block"], "left")
     begin = F.greatest(F.col("_start"), F.col("_block") * block_words)
     end = F.least(F.col("_start") + F.col("size"), F.col("_block") * block_words + F.col("_take"))
     # ``least`` and ``greatest`` pass over nulls, so blocks that are not chosen are told apart first.
