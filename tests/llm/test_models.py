@@ -330,3 +330,20 @@ def test_stages_of_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SMALL).count() == 0
         assert stage(spark, docs, SMALL).count() >= 4
+
+
+def test_training_leaves_the_driver_small():
+    """The training matrix is two arrays that go back to the system, not arrays of each text."""
+    texts = [" ".join(f"w{(k * i) % 9973}" for i in range(300)) for k in range(1, 41)] + ["", None]
+    rows = toxicity._matrix(texts)
+    assert rows.index.dtype == np.int32 and rows.share.dtype == np.float32 and rows.cuts[-2] == rows.cuts[-1]
+    assert (rows.n_texts == np.bincount(rows.index, minlength=toxicity.BUCKETS)).all()
+    index, share, cuts = rows.index.copy(), rows.share.copy(), rows.cuts
+    assert np.allclose([share[a:b].sum() for a, b in zip(cuts[:40], cuts[1:41], strict=True)], 1, atol=1e-4)
+    common = rows.n_texts >= 8
+    rows.learnable(common)
+    for k in range(len(texts)):
+        kept = common[index[cuts[k] : cuts[k + 1]]]
+        span = slice(rows.cuts[k], rows.cuts[k + 1])
+        assert (np.flatnonzero(common)[rows.index[span]] == index[cuts[k] : cuts[k + 1]][kept]).all()
+        assert (rows.share[span] == share[cuts[k] : cuts[k + 1]][kept]).all()

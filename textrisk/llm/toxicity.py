@@ -9,6 +9,7 @@ shares most n-grams with the word it stands for.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -80,28 +81,56 @@ class Model:
         return total / n
 
 
-def _matrix(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its buckets and their shares."""
-    known: dict[str, np.ndarray] = {}
-    rows = []
+@dataclass
+class _Matrix:
+    """Buckets and their shares of all texts one after another, a text between two of ``cuts``.
+
+    Two large arrays go back to the system when they are freed; arrays of each
+    text would leave the driver as large as while it trained.
+    """
+
+    index: np.ndarray
+    share: np.ndarray
+    cuts: np.ndarray
+    n_texts: np.ndarray
+
+    def learnable(self, common: np.ndarray) -> None:
+        """Keep the ``common`` buckets, by their place among them."""
+        place, end = (np.cumsum(common) - 1).astype(np.int32), 0
+        cuts = [0]
+        for start, stop in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+            index, share = self.index[start:stop], self.share[start:stop]
+            kept = common[index]
+            index, share = place[index[kept]], share[kept]
+            self.index[end : end + len(index)], self.share[end : end + len(index)] = index, share
+            end += len(index)
+            cuts.append(end)
+        self.cuts = np.array(cuts)
+
+
+def _matrix(texts: list[str]) -> _Matrix:
+    """The buckets of each text with their shares, and for each bucket the number of texts that have it."""
+    known: dict[str, bytes] = {}
+    index, share, cuts, n_texts = array("i"), array("f"), [0], np.zeros(BUCKETS, np.int64)
     for text in texts:
         counts = Counter(_WORD.findall((text or "").lower()))
-        if not counts:
-            rows.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
-            continue
         lists = []
         for word in counts:
             found = known.get(word)
             if found is None:
-                found = np.array(buckets(word), np.int32)
-                if len(word) <= LONGEST:
+                found = np.array(buckets(word), np.int32).tobytes()
+                if len(word) <= LONGEST and len(known) < REMEMBERED:
                     known[word] = found
             lists.append(found)
-        sizes = np.array([len(x) for x in lists])
-        share = np.repeat(np.array(list(counts.values())) / sizes / sum(counts.values()), sizes)
-        index, where = np.unique(np.concatenate(lists), return_inverse=True)
-        rows.append((index.astype(np.int32), np.bincount(where, share).astype(np.float32)))
-    return rows
+        if lists:
+            sizes = np.array([len(x) // 4 for x in lists])
+            shares = np.repeat(np.array(list(counts.values())) / sizes / sum(counts.values()), sizes)
+            own, where = np.unique(np.frombuffer(b"".join(lists), np.int32), return_inverse=True)
+            index.frombytes(own.tobytes())
+            share.frombytes(np.bincount(where, shares).astype(np.float32).tobytes())
+            n_texts[own] += 1
+        cuts.append(len(index))
+    return _Matrix(np.frombuffer(index, np.int32), np.frombuffer(share, np.float32), np.array(cuts), n_texts)
 
 
 def train(
@@ -112,21 +141,21 @@ def train(
         return None
     rng = np.random.default_rng(seed)
     layer, bias = rng.normal(0, 1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
-    rows, classes = _matrix(found.texts), found.labels.astype(int)
-    common = np.bincount(np.concatenate([index for index, _ in rows]), minlength=BUCKETS) >= min(MIN_TEXTS, len(rows))
+    rows, classes, n_rows = _matrix(found.texts), found.labels.astype(int), len(found.texts)
+    common = rows.n_texts >= min(MIN_TEXTS, n_rows)
     used = np.flatnonzero(common)
-    place = np.cumsum(common) - 1
-    rows = [(place[index[common[index]]], share[common[index]]) for index, share in rows]
+    rows.learnable(common)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (len(used), DIM)).astype(np.float32)
-    steps = -(-len(rows) // batch) * epochs
+    steps = -(-n_rows // batch) * epochs
     move = adam([vectors, layer, bias], rate, steps)
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(n_rows)
         for start in range(0, len(order), batch):
             part = order[start : start + batch]
-            sizes = np.array([len(rows[i][0]) for i in part])
-            index = np.concatenate([rows[i][0] for i in part])
-            share = np.concatenate([rows[i][1] for i in part])
+            spans = [slice(rows.cuts[i], rows.cuts[i + 1]) for i in part]
+            sizes = rows.cuts[part + 1] - rows.cuts[part]
+            index = np.concatenate([rows.index[s] for s in spans])
+            share = np.concatenate([rows.share[s] for s in spans])
             share = share * (rng.random(len(share)) >= dropout).astype(np.float32) / np.float32(1 - dropout)
             owner = np.repeat(np.arange(len(part)), sizes)
             weighed = vectors[index] * share[:, None]
