@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textrisk.llm import imatch, minhash, suffix
 from textrisk.llm.common import connected_components
@@ -136,6 +137,47 @@ def test_one_of_each_class_stays(spark, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(classes)
 
 
+def test_parities_never_rule_out_a_link(spark):
+    rng = random.Random(11)
+    texts = []
+    for n in (6, 20, 60, 300):
+        base = _prose(rng, n)
+        texts += [base, f"{base} {base}", f"{base} {base} {base}"] + [_edit(rng, base, k) for k in (1, 1, 2, 3, 4)]
+        texts += [f"{base} {base.split()[0]}", " ".join(base.split()[: n * 5 // 6]), f"{base} {base} {_prose(rng, n // 3 + 1)}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    one = minhash.parities(rows).cache()
+    other = one.toDF("o_doc", "o_parity", "o_n_runs")
+    passes = minhash.reachable(("parity", "o_parity"), ("n_runs", "o_n_runs"), minhash.THRESHOLD)
+    got = {(r.doc, r.o_doc) for r in one.join(other, (F.col("doc") < F.col("o_doc")) & passes).collect()}
+    pairs = set(itertools.combinations(range(len(texts)), 2))
+    links = {p for p in pairs if _likeness(texts[p[0]], texts[p[1]]) >= minhash.THRESHOLD}
+    assert len(links) > 20 and links <= got and len(got) < len(pairs) / 3
+
+
+def test_near_copies_just_apart_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """A group around a text that is not there: all share buckets, few pairs are alike enough."""
+    rng = random.Random(12)
+    base = _prose(rng, 200)
+    texts = [_edit(rng, base, 3) for _ in range(60)]
+    compared, compact = [], minhash.compact
+
+    def counted(df, name):
+        stored = compact(df, name)
+        if name == "likeness":
+            compared.append(stored.table.count())
+        return stored
+
+    monkeypatch.setattr(minhash, "compact", counted)
+    got = {r.doc_id: r for r in minhash.near_duplicates(_docs(spark, list(enumerate(texts)))).collect()}
+    links = [p for p in itertools.combinations(range(60), 2) if _likeness(texts[p[0]], texts[p[1]]) >= minhash.THRESHOLD]
+    assert sum(compared) <= 1770 // 3
+    least = {i: i for i in range(60)}
+    for _ in range(60):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert sum(got[i].class_id != least[i] for i in range(60)) <= 1
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long = "w1 w2 w3 w4 w5 w6 " * 20_000
     rows = [(1, None), (2, None), (None, "a b c d e f"), (3, "a b c d e f"), (4, ""), (5, ""), (6, long), (7, long), (7, long), (8, " \n")]

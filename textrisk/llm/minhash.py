@@ -27,6 +27,8 @@ ROWS = 8
 #: Likeness that two signatures must suggest before whole texts are compared.  At THRESHOLD
 #: the estimate stays below it with probability 0.0001.
 SUGGESTED = 0.7
+#: Numbers of 64 bits that hold the parities of a text's runs.
+PARITIES = 32
 _STEP, _BITS = 0xD1342543DE82EF95, (1 << 64) - 1
 
 
@@ -166,8 +168,44 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return words.mapInArrow(cut, f"a {kind}, b {kind}, likeness double")
 
 
-def _apart(members: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): pairs of a bucket's members (doc, band, hash, sketch) in different classes that are not among ``known``."""
+def parities(texts: DataFrame) -> DataFrame:
+    """(doc, parity, n_runs) of texts (doc, text): for each bit whether an odd number of the
+    text's distinct runs fall on it, and the number of runs with repeats."""
+    bits = 64 * PARITIES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in some_words(batch, 1):
+                values, lengths = ragged(part.column(1))
+                hashes, owner, _ = windows(values, lengths, SHINGLE)
+                n_runs = np.bincount(owner, minlength=part.num_rows)
+                h, o, _ = _distinct(hashes, owner)
+                odd = np.bincount(o * bits + (h % np.uint64(bits)).astype(np.int64), minlength=part.num_rows * bits) & 1
+                packed = np.bitwise_or.reduce(odd.astype(np.uint64).reshape(-1, 64) << np.arange(64, dtype=np.uint64), axis=1)
+                places = pa.array(np.arange(0, (part.num_rows + 1) * PARITIES, PARITIES, dtype=np.int32))
+                parity = pa.ListArray.from_arrays(places, pa.array(packed.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), parity, pa.array(n_runs, pa.int64())], names=["doc", "parity", "n_runs"])
+
+    words = texts.select("doc", word_numbers(F.col("text")).alias("words"))
+    kind = texts.schema["doc"].dataType.simpleString()
+    return words.mapInArrow(count, f"doc {kind}, parity array<bigint>, n_runs long")
+
+
+def reachable(parity: tuple[str, str], n_runs: tuple[str, str], threshold: float) -> Column:
+    """Whether two texts' parities leave a likeness of ``threshold`` possible; never false for a link.
+
+    The bits that differ, h, are at most the distinct runs in one text only, p and q.  With
+    X and Y runs the likeness is at most 1 / (X / (X - p) + Y / (Y - q) - 1), which is highest,
+    by Cauchy and Schwarz, at (sqrt X + sqrt Y)^2 / (X + Y - h) in place of the two fractions.
+    """
+    differ = F.expr(" + ".join(f"bit_count({parity[0]}[{i}] ^ {parity[1]}[{i}])" for i in range(PARITIES)))
+    x, y = (F.col(n).cast("double") for n in n_runs)
+    return differ <= x + y - F.pow(F.sqrt(x) + F.sqrt(y), F.lit(2.0)) * F.lit(threshold / (1 + threshold)) + F.lit(0.001)
+
+
+def _apart(members: DataFrame, classes: DataFrame, known: DataFrame, drawn: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of a bucket's members (doc, band, hash, sketch) in different classes that are not
+    among ``known`` and by the parities ``drawn`` may reach ``threshold``."""
     bucket = ["band", "hash"]
     named = members.join(classes.withColumnRenamed("node", "doc"), "doc", "left").select(
         "doc", *bucket, "sketch", F.coalesce("component", "doc").alias("class")
@@ -178,8 +216,10 @@ def _apart(members: DataFrame, classes: DataFrame, known: DataFrame) -> DataFram
         .where("n_classes > 1")
     )
     split = named.join(largest, bucket).select("doc", *bucket, "sketch", "class", (F.col("class") != F.col("most.class")).alias("is_odd"))
+    split = split.join(drawn, "doc")
     odd = split.where("is_odd").select(
-        F.col("band").alias("o_band"), F.col("hash").alias("o_hash"), F.col("doc").alias("o_doc"), F.col("sketch").alias("o_sketch"), F.col("class").alias("o_class")
+        F.col("band").alias("o_band"), F.col("hash").alias("o_hash"), F.col("doc").alias("o_doc"), F.col("sketch").alias("o_sketch"),
+        F.col("class").alias("o_class"), F.col("parity").alias("o_parity"), F.col("n_runs").alias("o_n_runs"),
     )
     pairs = split.join(
         odd,
@@ -187,7 +227,8 @@ def _apart(members: DataFrame, classes: DataFrame, known: DataFrame) -> DataFram
         & (F.col("hash") == F.col("o_hash"))
         & (F.col("class") != F.col("o_class"))
         & (~F.col("is_odd") | (F.col("doc") < F.col("o_doc")))
-        & (suggested("sketch", "o_sketch") >= SUGGESTED),
+        & (suggested("sketch", "o_sketch") >= SUGGESTED)
+        & reachable(("parity", "o_parity"), ("n_runs", "o_n_runs"), threshold),
     )
     pairs = pairs.select(F.least("doc", "o_doc").alias("a"), F.greatest("doc", "o_doc").alias("b")).distinct()
     return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
@@ -213,8 +254,8 @@ def near_duplicates(
     texts that are alike to no centre meet more of them.  At last the members of a bucket
     that the links so far leave in different classes meet, those outside its largest
     class with all others; so each pair in a bucket is compared or in one class.  Pairs
-    whose signatures suggest less than SUGGESTED are left out; every link is verified on
-    the whole texts.
+    whose signatures suggest less than SUGGESTED are left out, and after the first round
+    those that by their parities cannot be linked; every link is verified on the whole texts.
     """
     signed = store(banded(docs, id_column, text), "bands")
     heads = signed.table.groupBy("key").agg(F.min("doc").alias("doc"))
@@ -230,6 +271,7 @@ def near_duplicates(
     wanted = met.table.select("doc").distinct().join(heads, "doc")
     owned = docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text"), text_key(text).alias("key"))
     texts = store(owned.join(wanted, ["doc", "key"]).groupBy("doc").agg(F.min("text").alias("text")), "texts")
+    parity = compact(parities(texts.table), "parities")
 
     compared: list[Stored] = []
     left, n_centres = met, 1
@@ -241,17 +283,20 @@ def near_duplicates(
             "doc", "band", "hash", "company", "sketch",
             ((F.col("doc") == F.col("c.doc")) | (draw * F.col("n") < n_centres - 1)).alias("is_centre"),
         )
-        centres = marked.where("is_centre").select(
-            "band", "hash", F.col("doc").alias("centre"), F.col("company").alias("c_company"), F.col("sketch").alias("c_sketch")
-        )
+        possible = suggested("sketch", "c_sketch") >= SUGGESTED
+        if left is not met:  # one centre a bucket needs no parities, so only the few members left carry them
+            marked = marked.join(parity.table, "doc")
+            possible &= reachable(("parity", "c_parity"), ("n_runs", "c_n_runs"), threshold)
+        centres = marked.where("is_centre").drop("is_centre").withColumnRenamed("doc", "centre")
+        centres = centres.withColumnsRenamed({c: f"c_{c}" for c in centres.columns if c != "centre"})
         ahead = F.struct("c_company", "centre") > F.struct("company", "doc")
         judged = (
             marked.join(
-                centres.withColumnsRenamed({"band": "c_band", "hash": "c_hash"}),
+                centres,
                 (F.col("band") == F.col("c_band"))
                 & (F.col("hash") == F.col("c_hash"))
                 & (ahead | ~F.col("is_centre"))
-                & (suggested("sketch", "c_sketch") >= SUGGESTED),
+                & possible,
             )
             .select("doc", "band", "hash", F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b"))
             .persist(StorageLevel.DISK_ONLY)
@@ -263,7 +308,7 @@ def near_duplicates(
         known = reduce(DataFrame.union, [c.table for c in compared])
         near = known.where(F.col("likeness") >= threshold).select("a", "b")
         linked = judged.join(near, ["a", "b"], "left_semi").select("doc", "band", "hash").distinct()
-        waiting = marked.where("NOT is_centre").join(linked, ["doc", "band", "hash"], "left_anti").drop("is_centre")
+        waiting = marked.where("NOT is_centre").join(linked, ["doc", "band", "hash"], "left_anti").select(met.table.columns)
         following = compact(waiting, "open")
         judged.unpersist()
         if left is not met:
@@ -272,13 +317,13 @@ def near_duplicates(
         if left.table.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
     classes = connected_components(known.where(F.col("likeness") >= threshold).select("a", "b"))
-    rest = compact(verified(_apart(met.table, classes.table, known), texts.table), "likeness")
+    rest = compact(verified(_apart(met.table, classes.table, known, parity.table, threshold), texts.table), "likeness")
     compared.append(rest)
     links = compact(known.unionByName(rest.table).where(F.col("likeness") >= threshold).select("a", "b"), "links")
     if not rest.table.where(F.col("likeness") >= threshold).isEmpty():
         classes.drop()
         classes = connected_components(links.table)
-    for done in (met, left, texts, *compared):
+    for done in (met, left, texts, parity, *compared):
         done.drop()
     degree = links.table.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
     assigned = (
