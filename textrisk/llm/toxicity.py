@@ -38,10 +38,22 @@ REMEMBERED = 100_000
 LONGEST = 64
 #: Characters of a long word whose n-grams are held at a time.
 BLOCK = 1 << 14
+#: Characters of texts whose new words are scored together, and of words hashed together.
+TOGETHER, HASHED = 1 << 18, 1 << 16
 
 _WORD = re.compile(r"\w+")
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> np.uint32(1)) ^ np.where(table & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return table
+
+
+_CRC = _crc_table()
+
+
 def _blocks(word: str) -> Iterator[list[int]]:
     """Hash buckets of the n-grams that begin in each block of the word, and at last of the word itself."""
     # Bytes are cut faster than characters, and in plain words they are the same.
@@ -80,6 +92,34 @@ class Model:
             total, n = total + float(self.weights[part].sum()), n + len(part)
         return total / n
 
+    def words(self, words: list[str]) -> np.ndarray:
+        """``word`` of many words: the checksums of all their n-grams go on together, character by character."""
+        if not words:
+            return np.zeros(0)
+        marked = "".join([f"<{w}>" for w in words])
+        raw = np.frombuffer(marked.encode(), np.uint8)
+        begins = np.flatnonzero((raw & 0xC0) != 0x80)
+        n_bytes = np.diff(np.append(begins, len(raw)))
+        n_chars = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        owner = np.repeat(np.arange(len(words)), n_chars)
+        left = np.repeat(np.cumsum(n_chars), n_chars) - np.arange(len(owner))
+        total = self.weights.take([crc32(w.encode()) % BUCKETS for w in words])
+        state = np.full(len(owner), 0xFFFFFFFF, np.uint32)
+        at = np.arange(len(owner))  # where the n-grams begin that are not yet at the end of their word
+        for n in range(1, max(SIZES) + 1):
+            kept = left[at] >= n
+            at, state = at[kept], state[kept]
+            place, size = begins[at + n - 1], n_bytes[at + n - 1]
+            state = _CRC[(state ^ raw[place]) & 0xFF] ^ (state >> np.uint32(8))
+            for k in range(1, 4):
+                more = np.flatnonzero(size > k)
+                if not len(more):
+                    break
+                state[more] = _CRC[(state[more] ^ raw[place[more] + k]) & 0xFF] ^ (state[more] >> np.uint32(8))
+            if n in SIZES:
+                total += np.bincount(owner[at], self.weights.take(~state % BUCKETS), len(words))
+        return total / (1 + sum(np.maximum(n_chars - n + 1, 0) for n in SIZES))
+
 
 @dataclass
 class _Matrix:
@@ -175,19 +215,54 @@ def train(
 
 
 class _Scores(dict):
-    """Word scores, looked up once per word."""
+    """Word scores, looked up once per word while it is remembered.
+
+    When half of the words are new, the older half goes, without those that were
+    asked for again; so frequent words stay, however many rare ones pass.
+    """
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.before = model, {}
+
+    def keep(self, scores: dict[str, float]) -> None:
+        if len(self) + len(scores) > REMEMBERED // 2:
+            self.before = dict(self)
+            self.clear()
+        self.update(scores)
 
     def __missing__(self, word: str) -> float:
-        value = self.model.word(word)
+        value = self.before.get(word)
+        if value is None:
+            value = self.model.word(word)
         if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = value
+            self.keep({word: value})
         return value
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Score the words of ``texts`` that are new, some at a time."""
+        part, size = [], 0
+        for word in set().union(*texts):
+            if word not in self and word not in self.before and len(word) <= LONGEST:
+                part.append(word)
+                size += len(word) + 2
+                if size >= HASHED:
+                    self.keep(dict(zip(part, self.model.words(part).tolist(), strict=True)))
+                    part, size = [], 0
+        self.keep(dict(zip(part, self.model.words(part).tolist(), strict=True)))
+
+
+def _together(texts: pd.Series) -> Iterator[list[str | None]]:
+    """Texts in order, some TOGETHER characters at a time, one text at least."""
+    part, size = [], 0
+    for value in texts:
+        part.append(value)
+        size += len(value or "")
+        if size >= TOGETHER:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
 
 def score(text: str, model: Model | None) -> Column:
     """Probability that a text is toxic.
@@ -203,9 +278,11 @@ def score(text: str, model: Model | None) -> Column:
         known = _Scores(model)
         for texts in batches:
             logits = []
-            for value in texts:
-                words = _WORD.findall(value.lower()) if value else ()
-                logits.append(model.bias + sum(map(known.__getitem__, words)) / len(words) if words else model.empty)
+            for part in _together(texts):
+                cut = [_WORD.findall(value.lower()) if value else [] for value in part]
+                known.learn(cut)
+                for words in cut:
+                    logits.append(model.bias + sum(map(known.__getitem__, words)) / len(words) if words else model.empty)
             yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -50, 50))), dtype=float)
 
     return F.pandas_udf(scored, "double")(F.col(text))
