@@ -13,9 +13,22 @@ from pyspark.sql import functions as F
 from textrisk.llm import decontaminate, line_dedup, minhash, pieces, toxicity
 from textrisk.storage import materialize
 
+#: Rows that go to a Python worker at a time, and again to the stage after it.
+BATCH_ROWS = 500
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From now on Python workers get at most BATCH_ROWS rows at a time: the JVM and the worker
+    of each task hold a batch, several times over, beside heaps that earlier stages have filled."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under the toxicity threshold; the model learns from the labelled ones among ``docs``."""
+    _small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
@@ -28,16 +41,19 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
+    _small_batches(spark)
     return minhash.one_of_each(docs).select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
+    _small_batches(spark)
     return decontaminate.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the text that they give back."""
+    _small_batches(spark)
     return pieces.encode(docs, pieces.Vocabulary.load())
 
 

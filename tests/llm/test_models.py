@@ -347,3 +347,26 @@ def test_training_leaves_the_driver_small():
         span = slice(rows.cuts[k], rows.cuts[k + 1])
         assert (np.flatnonzero(common)[rows.index[span]] == index[cuts[k] : cuts[k + 1]][kept]).all()
         assert (rows.share[span] == share[cuts[k] : cuts[k + 1]][kept]).all()
+
+
+def test_stages_hand_small_batches_to_python(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'a text' AS text")
+
+    def largest() -> int:
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+        return spark.range(0, 2000, 1, 1).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+
+    try:
+        spark.conf.set(key, "10000")
+        corpus_pipeline.tokenize(spark, docs, "")
+        assert largest() <= corpus_pipeline.BATCH_ROWS
+        spark.conf.set(key, "100")
+        corpus_pipeline.tokenize(spark, docs, "")
+        assert largest() <= 100
+    finally:
+        spark.conf.set(key, before)
