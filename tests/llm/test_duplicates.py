@@ -296,3 +296,23 @@ def test_fingerprint_report_of_odd_rows(spark):
     alone = imatch.edit_report(docs.limit(1), imatch.lexicon(docs.limit(1))).collect()
     assert len(alone) == 1 and alone[0].near_next == 1.0 and alone[0].near_edited == 1.0
     assert imatch.edit_report(docs.limit(0), imatch.lexicon(docs.limit(0))).count() == 0
+
+
+def test_few_rows_take_few_tasks(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    context = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "100")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup("few-rows", "components of few rows")
+        found = connected_components(edges)
+        tracker = context.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("few-rows")]
+        stages = [tracker.getStageInfo(s) for s in {s for j in jobs for s in j.stageIds}]
+        assert sum(s.numCompletedTasks for s in stages if s) < 500
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {r.component for r in found.table.collect()} == {0} and found.table.count() == 41

@@ -15,6 +15,8 @@ from textrisk.storage import Stored, store
 #: Size up to which a counted table may be broadcast.
 BROADCAST_BYTES = 32 << 20
 ROWS_PER_FILE = 1 << 18
+#: Rows up to which a counted table is worked on by one task instead of being shuffled.
+ROWS_AT_ONCE = 1 << 15
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -41,14 +43,26 @@ def compact(df: DataFrame, name: str) -> Stored:
     All tasks work on the table, which stays on their disks until it has been
     counted; the files are written from there.
     """
+    return counted(df, name)[0]
+
+
+def counted(df: DataFrame, name: str) -> tuple[Stored, int]:
+    """``compact`` and the number of rows."""
     held = df.persist(StorageLevel.DISK_ONLY)
     try:
-        n_files = max(1, -(-held.count() // ROWS_PER_FILE))
-        return store(held.coalesce(n_files) if n_files < 10_000 else held, name)
+        n_rows = held.count()
+        n_files = max(1, -(-n_rows // ROWS_PER_FILE))
+        return store(held.coalesce(n_files) if n_files < 10_000 else held, name), n_rows
     finally:
         held.unpersist()
 
 
+def at_once(table: DataFrame, n_rows: int) -> DataFrame:
+    """``table`` as one partition where its counted rows are few: what follows needs no shuffle,
+    which would cost a task for each of the session's partitions."""
+    return table.coalesce(1) if n_rows <= ROWS_AT_ONCE else table
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, n_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``n_bytes`` of text, one row at least."""
     for batch in batches:
@@ -75,19 +89,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> Stored
     many neighbours is never gathered.  Each step is written to the shared
     folder and the step before it deleted.
     """
-    current = compact(
+    current, n_edges = counted(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
     state = None
     while True:
         # Large star: neighbours above a node move to the smallest id around it.
-        both = current.table.union(current.table.select("v", "u"))
+        both = at_once(current.table.union(current.table.select("v", "u")), 2 * n_edges)
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: neighbours below a node, and itself, move to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = compact(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        stars = at_once(small.union(low.select("u", F.col("m").alias("v"))), 2 * n_edges)
+        following, n_edges = counted(stars.where("u <> v").distinct(), "edges")
         current.drop()
         current = following
         seen = current.table.agg(
